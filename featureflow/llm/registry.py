@@ -6,17 +6,61 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_encode
 from .common import read
 from .exact_dedup import exact_dedup
+from .mixing import fair_queue
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fair_queue(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(read(spark, sf_dir, "documents"), digests_only=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_exact_dedup,)}
+    return {f.__name__: f for f in QUERIES}
+
 
+QUERIES = (op5_mixing, op7_exact_dedup, op8_bpe)
+
+
+_OP5 = r"""
+WITH rows AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5('mix|' || coalesce(doc_id::VARCHAR, 'null')) AS shuffle
+  FROM documents
+), stats AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS source_no
+  FROM rows GROUP BY source
+), weighed AS (
+  SELECT *, ([5, 2, 1])[((source_no - 1) % 3 + 1)::INT]::DOUBLE AS weight, (source_size * 2)::DOUBLE AS cap,
+         (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS budget
+  FROM stats
+), filled AS (
+  SELECT *, cap / weight AS ends,
+         (budget - (sum(cap) OVER (ORDER BY cap / weight, source_no ROWS UNBOUNDED PRECEDING) - cap))
+         / sum(weight) OVER (ORDER BY cap / weight, source_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed
+), cut AS (
+  SELECT level AS v FROM filled WHERE level <= ends ORDER BY ends, source_no LIMIT 1
+), targets AS (
+  SELECT source, source_size, least(cap, weight * coalesce((SELECT v FROM cut), (SELECT max(ends) FROM filled))) AS target FROM filled
+), placed AS (
+  SELECT r.doc_id, r.size, t.source_size, t.target, floor(t.target)::BIGINT AS whole,
+         (sum(r.size) OVER (PARTITION BY r.source ORDER BY r.shuffle, r.doc_id, r.size ROWS UNBOUNDED PRECEDING))::BIGINT - r.size AS start
+  FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(size, whole - start)) + greatest(0, least(size, whole - start - source_size)))::BIGINT AS taken
+FROM placed
+"""
 
 _OP7 = r"""
 WITH n AS (
@@ -29,4 +73,4 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": _OP7}
+    return {"op5_mixing": _OP5, "op7_exact_dedup": _OP7}
