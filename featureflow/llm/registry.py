@@ -10,6 +10,7 @@ from .bpe import bpe_encode
 from .common import read
 from .exact_dedup import exact_dedup
 from .mixing import fair_queue
+from .sharding import shard_documents
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +25,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(read(spark, sf_dir, "documents"), digests_only=True)
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
-QUERIES = (op5_mixing, op7_exact_dedup, op8_bpe)
+QUERIES = (op5_mixing, op7_exact_dedup, op8_bpe, op10_sharding)
 
 
 _OP5 = r"""
