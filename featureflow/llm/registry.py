@@ -9,8 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_encode
 from .common import read
 from .exact_dedup import exact_dedup
+from .html_extract import extract_text
 from .mixing import fair_queue
 from .sharding import shard_documents
+from .url_filter import RULES, filter_urls, rule_table
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read(spark, sf_dir, "pages"), rule_table(spark, RULES))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +31,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(read(spark, sf_dir, "documents"), digests_only=True)
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
@@ -33,9 +43,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
-QUERIES = (op5_mixing, op7_exact_dedup, op8_bpe, op10_sharding)
+QUERIES = (op2_url_filter, op5_mixing, op7_exact_dedup, op8_bpe, op9_html_extract, op10_sharding)
 
 
+_OP2 = r"""
+WITH rules(r_host, r_path, r_verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), rest AS (
+  SELECT row_number() OVER () AS rn, page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT rn, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest
+), fits AS (
+  SELECT p.rn, max_by(struct_pack(rule := r_host || r_path, verdict := r_verdict), length(r_host || r_path)) AS best
+  FROM parts p JOIN rules ON (p.host = r_host OR ends_with(p.host, '.' || r_host)) AND starts_with(p.path, r_path) GROUP BY p.rn
+)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (rn)
+"""
+
 _OP5 = r"""
 WITH rows AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -78,4 +104,4 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": _OP5, "op7_exact_dedup": _OP7}
+    return {"op2_url_filter": _OP2, "op5_mixing": _OP5, "op7_exact_dedup": _OP7}
