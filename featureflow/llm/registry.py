@@ -10,6 +10,7 @@ from .bpe import bpe_encode
 from .common import read
 from .exact_dedup import exact_dedup
 from .html_extract import extract_text
+from .language_id import identify
 from .mixing import fair_queue
 from .sharding import shard_documents
 from .url_filter import RULES, filter_urls, rule_table
@@ -23,6 +24,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_queue(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
-QUERIES = (op2_url_filter, op5_mixing, op7_exact_dedup, op8_bpe, op9_html_extract, op10_sharding)
+QUERIES = (op2_url_filter, op5_mixing, op6_language_id, op7_exact_dedup, op8_bpe, op9_html_extract, op10_sharding)
 
 
 _OP2 = r"""
