@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .html_extract import extract_text
 from .language_id import identify
 from .mixing import fair_queue
+from .quality import score_quality
 from .sharding import shard_documents
 from .url_filter import RULES, filter_urls, rule_table
 
@@ -20,6 +21,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), rule_table(spark, RULES))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_queue(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -48,7 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
-QUERIES = (op2_url_filter, op5_mixing, op6_language_id, op7_exact_dedup, op8_bpe, op9_html_extract, op10_sharding)
+QUERIES = (op2_url_filter, op4_quality, op5_mixing, op6_language_id, op7_exact_dedup, op8_bpe, op9_html_extract, op10_sharding)
 
 
 _OP2 = r"""
