@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .ann import nearest
 from .bpe import bpe_encode
 from .common import read
 from .exact_dedup import exact_dedup
@@ -21,6 +23,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), rule_table(spark, RULES))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -53,7 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
-QUERIES = (op2_url_filter, op4_quality, op5_mixing, op6_language_id, op7_exact_dedup, op8_bpe, op9_html_extract, op10_sharding)
+QUERIES = (op2_url_filter, op3_ann, op4_quality, op5_mixing, op6_language_id, op7_exact_dedup, op8_bpe, op9_html_extract, op10_sharding)
 
 
 _OP2 = r"""
