@@ -14,11 +14,16 @@ from .exact_dedup import exact_dedup
 from .html_extract import extract_text
 from .language_id import identify
 from .mixing import fair_queue
+from .near_dup import near_classes
 from .quality import score_quality
 from .sharding import shard_documents
 from .url_filter import RULES, filter_urls, rule_table
 
 
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(read(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), rule_table(spark, RULES))
 
@@ -59,7 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
-QUERIES = (op2_url_filter, op3_ann, op4_quality, op5_mixing, op6_language_id, op7_exact_dedup, op8_bpe, op9_html_extract, op10_sharding)
+QUERIES = (op1_near_dup, op2_url_filter, op3_ann, op4_quality, op5_mixing, op6_language_id, op7_exact_dedup, op8_bpe, op9_html_extract, op10_sharding)
 
 
 _OP2 = r"""
