@@ -1,8 +1,82 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: quality, exact dedup, near dedup, mixing, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the
+columns of ``docs``; each works on all rows its predecessor kept. Rows are kept or dropped by
+doc_id; a document that the mix takes twice is there twice, and has its ids twice.
+
+Defined cases: rows with a null doc_id pass the stages as one document of the null id; columns
+beside those of ``documents`` are carried along; empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from featureflow.llm.bpe import bpe_encode
+from featureflow.llm.common import read, ship, stored
+from featureflow.llm.exact_dedup import exact_dedup
+from featureflow.llm.mixing import mixed_documents
+from featureflow.llm.near_dup import near_classes
+from featureflow.llm.quality import keep_good
+
+
+def _keeping(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is among ``ids`` (column __keep), one row for each."""
+    ids = stored(ids, name)
+    kept = docs.join(ids.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    # Ids are looked at alone, so that texts are only dealt anew where a row is repeated.
+    unique = ids.groupBy("__keep").count().where("count > 1").isEmpty()
+    return kept if unique else kept.dropDuplicates(["doc_id"])
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    ship(spark)
+    return keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the smallest doc_id stays."""
+    ship(spark)
+    return _keeping(docs, exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__keep")), "exact-kept")
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates, the document with the smallest doc_id stays."""
+    ship(spark)
+    return _keeping(docs, near_classes(docs).where("kept").select(F.col("doc_id").alias("__keep")), "near-kept")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, once for each pass."""
+    ship(spark)
+    return mixed_documents(docs)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+    ship(spark)
+    return bpe_encode(docs, digests_only=True)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("exact_dedup", exact_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("mixing", mixing_stage),
+    ("bpe", bpe_stage),
+]
+
+#: The classifier and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each is written as Parquet and read again by the next."""
+    docs = read(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{name}")
+    return docs

@@ -163,3 +163,24 @@ def score_quality(docs: DataFrame, labels: DataFrame | None = None, net: Net | N
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod4("doc_id") == 2).alias("held_out"), "text")
     return picked.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame | None = None, net: Net | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more.
+
+    Without any label to learn from nothing is rejected.
+    """
+    net = train(training_rows(docs, labels)) if net is None else net
+    if net.constant is not None and 0 < net.constant < 1:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            good = [shared.value.score(raw_bytes(t)) >= threshold for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
