@@ -240,11 +240,12 @@ def extract_text(pages: DataFrame) -> DataFrame:
                     ids += [i] * len(own)
                     hosts += [host] * len(own)
                     hashes += own
-            yield pd.DataFrame({"page_id": pd.array(ids, dtype="Int64"), "host": pd.array(hosts, dtype=object), "hash": pd.array(hashes, dtype="int64")})
+            yield pd.DataFrame({"page_id": pd.array(ids, dtype="Int64"), "host": pd.array(hosts, dtype="int64"), "hash": pd.array(hashes, dtype="int64")})
 
-    trees = picked.select("page_id", host_of(F.col("url")).alias("host"), "html").mapInPandas(subtrees, "page_id long, host string, hash long")
+    hosted = picked.select("page_id", F.xxhash64(host_of(F.col("url"))).alias("host"), "html")
+    trees = hosted.mapInPandas(subtrees, "page_id long, host long, hash long")
     trees = stored(trees, "subtrees")
-    sizes = picked.select(host_of(F.col("url")).alias("s_host")).groupBy("s_host").agg(F.count(F.lit(1)).alias("host_pages"))
+    sizes = picked.select(F.xxhash64(host_of(F.col("url"))).alias("s_host")).groupBy("s_host").agg(F.count(F.lit(1)).alias("host_pages"))
     counts = trees.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
     recurring = counts.join(sizes, F.col("host") == F.col("s_host")).where(F.col("n") >= LEAST_SHARE * F.col("host_pages"))
     recurring = recurring.select(F.col("host").alias("r_host"), F.col("hash").alias("r_hash"))
