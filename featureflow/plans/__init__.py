@@ -1 +1 @@
-
+"""Steps, pipelines, their events and instruments."""

@@ -1,9 +1,413 @@
-"""Query catalogue of the tabular operators (filled per operator)."""
+"""Query catalogue of the tabular operators: Spark plans and the SQL that must agree."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import uuid
+import warnings
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions.exprs import fill_missing, ratio, replace_value
+from ..operators import aggregates, casts, rows
+from ..operators.encoders import FeatureEngineer, FrequencyEncodingStrategy, OneHotStrategy, TargetEncodingStrategy
+from ..session import shared_dir
+from ..sources import CSVLoader, JSONLoader, LoaderFactory, ParquetLoader, scan_parquet_files, write_csv, write_json, write_parquet
+from .cache import content_fingerprint
+from .events import AlertObserver, MetricsObserver
+from .pipeline import Pipeline
+from .steps import DropLastRowStep, FirstRowStep, IdentityStep, RatioStep, SelectStep
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+def load(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None, filters=None) -> DataFrame:
+    return ParquetLoader(f"{sf_dir}/{name}.parquet", columns, filters).run(None)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# Scans, sources, sinks -----------------------------------------------------------------------
+
+
+@query("SELECT o_totalprice, o_orderkey FROM orders")
+def scan_projection(spark, sf_dir):
+    return load(spark, sf_dir, "orders", ["o_totalprice", "o_orderkey"])
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE (o_orderstatus IN ('F', 'O') AND o_totalprice > 1000) OR o_orderkey = 5")
+def scan_filter_dnf(spark, sf_dir):
+    filters = [[("o_orderstatus", "in", ["F", "O"]), ("o_totalprice", ">", 1000)], [("o_orderkey", "==", 5)]]
+    return load(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice"], filters)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('O', 'P') AND o_totalprice <= 200000 AND o_orderkey <> 7")
+def scan_filter_conjunction(spark, sf_dir):
+    return load(spark, sf_dir, "orders", ["o_orderkey"], [("o_orderstatus", "not in", ["O", "P"]), ("o_totalprice", "<=", 200000), ("o_orderkey", "!=", 7)])
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+def scan_filter_unprojected(spark, sf_dir):
+    return load(spark, sf_dir, "orders", ["o_orderkey"], [("o_orderstatus", "=", "F")])
+
+
+@query("SELECT * FROM region")
+def factory_parquet(spark, sf_dir):
+    return LoaderFactory.create(f"{sf_dir}/region.parquet").run(None)
+
+
+_NATION = "n_nationkey int, n_name string, n_regionkey int"
+
+
+@query("SELECT * FROM nation")
+def csv_roundtrip(spark, sf_dir):
+    return CSVLoader(write_csv(load(spark, sf_dir, "nation"), scratch(spark, "csv")), schema=_NATION).run(None)
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def csv_inferred(spark, sf_dir):
+    return CSVLoader(write_csv(load(spark, sf_dir, "nation"), scratch(spark, "csv"))).run(None)
+
+
+@query("SELECT * FROM nation")
+def csv_custom_sep(spark, sf_dir):
+    return CSVLoader(write_csv(load(spark, sf_dir, "nation"), scratch(spark, "csv"), sep=";"), sep=";", schema=_NATION).run(None)
+
+
+@query("SELECT * FROM nation")
+def json_lines(spark, sf_dir):
+    return JSONLoader(write_json(load(spark, sf_dir, "nation"), scratch(spark, "json")), lines=True, schema=_NATION).run(None)
+
+
+@query("SELECT * FROM nation")
+def json_records(spark, sf_dir):
+    path = scratch(spark, "records")
+    table = load(spark, sf_dir, "nation")
+    # One document: the 25 rows of nation as an array of records.
+    table.agg(F.to_json(F.collect_list(F.struct(*table.columns)))).coalesce(1).write.text(path)
+    return JSONLoader(path, orient="records", schema=_NATION).run(None)
+
+
+@query("SELECT * FROM customer")
+def parquet_multi_file(spark, sf_dir):
+    path = scratch(spark, "files")
+    load(spark, sf_dir, "customer").repartition(4, "c_custkey").write.parquet(path)
+    return scan_parquet_files(path)
+
+
+@query("SELECT c_mktsegment, count(*) AS n_rows FROM customer GROUP BY 1")
+def parquet_partitioned(spark, sf_dir):
+    path = write_parquet(load(spark, sf_dir, "customer"), scratch(spark, "by-segment"), partition_by=["c_mktsegment"])
+    return ParquetLoader(path).run(None).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("SELECT * FROM customer")
+def parquet_sink_roundtrip(spark, sf_dir):
+    return ParquetLoader(write_parquet(load(spark, sf_dir, "customer"), scratch(spark, "sink"))).run(None)
+
+
+# Projections and expressions -----------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, l_tax, l_discount, coalesce(l_tax / nullif(l_discount, 0), 0.0) AS tip_pct FROM lineitem")
+def safe_ratio(spark, sf_dir):
+    """Flagship: scan, select, ratio as a pipeline of steps, one lazy plan."""
+    columns = ["l_orderkey", "l_linenumber", "l_tax", "l_discount"]
+    steps = [ParquetLoader(f"{sf_dir}/lineitem.parquet", columns), RatioStep("l_tax", "l_discount", "tip_pct")]
+    return Pipeline(steps).run(None)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_tax / nullif(l_discount, 0) AS raw_ratio FROM lineitem")
+def raw_ratio_null(spark, sf_dir):
+    df = load(spark, sf_dir, "lineitem")
+    return df.select("l_orderkey", "l_linenumber", ratio(df, "l_tax", "l_discount").alias("raw_ratio"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN 0.0 ELSE l_tax / l_discount END AS raw_ratio FROM lineitem")
+def raw_ratio_zero(spark, sf_dir):
+    df = load(spark, sf_dir, "lineitem")
+    return df.select("l_orderkey", "l_linenumber", ratio(df, "l_tax", "l_discount", "zero").alias("raw_ratio"))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount <> 0 THEN CAST(l_tax / l_discount AS VARCHAR) IS NOT NULL ELSE true END AS is_set, "
+    "l_discount = 0 AND l_tax > 0 AS is_infinite, l_discount = 0 AND l_tax = 0 AS is_undefined FROM lineitem"
+)
+def raw_ratio_ieee(spark, sf_dir):
+    """The three kinds of IEEE results, as flags that any comparison can hold."""
+    df = load(spark, sf_dir, "lineitem")
+    value = ratio(df, "l_tax", "l_discount", "ieee")
+    return df.select("l_orderkey", "l_linenumber", value.isNotNull().alias("is_set"), (value == float("inf")).alias("is_infinite"), F.isnan(value).alias("is_undefined"))
+
+
+@query("SELECT l_orderkey, l_linenumber, nullif(l_discount, 0) AS replaced, coalesce(nullif(l_discount, 0), -1.0) AS filled FROM lineitem")
+def replace_and_fill(spark, sf_dir):
+    df = load(spark, sf_dir, "lineitem")
+    df = df.select("l_orderkey", "l_linenumber", replace_value(df, "l_discount", 0.0).alias("replaced"))
+    return df.withColumn("filled", fill_missing(df, "replaced", -1.0))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
+def identity_drop(spark, sf_dir):
+    return Pipeline([IdentityStep()]).run(load(spark, sf_dir, "orders")).drop("o_orderpriority")
+
+
+# Aggregates ----------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderpriority AS value, count(*) AS count FROM orders GROUP BY 1")
+def value_counts(spark, sf_dir):
+    return aggregates.value_counts(load(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+@query("SELECT o_orderpriority AS value, count(*) / sum(count(*)) OVER () AS count FROM orders GROUP BY 1")
+def value_counts_norm(spark, sf_dir):
+    return aggregates.value_counts(load(spark, sf_dir, "orders"), "o_orderpriority", normalize=True)
+
+
+@query("SELECT count(DISTINCT o_custkey) AS n_distinct FROM orders")
+def nunique(spark, sf_dir):
+    return aggregates.distinct_count(load(spark, sf_dir, "orders"), "o_custkey")
+
+
+@query("SELECT round(avg(o_totalprice), 6) AS mean FROM orders")
+def global_mean(spark, sf_dir):
+    return aggregates.global_mean(load(spark, sf_dir, "orders"), "o_totalprice").select(F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT count(*) AS n_rows, sum(l_quantity) AS sum_quantity FROM lineitem")
+def row_count_and_sum(spark, sf_dir):
+    return load(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("sum_quantity"))
+
+
+# Encoders ------------------------------------------------------------------------------------
+
+_ORDER = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+
+
+def _dummies(column: str, values, prefix: str, hole: str = "") -> str:
+    return ", ".join(f"CAST(coalesce({hole or column} = '{v}', false) AS TINYINT) AS \"{prefix}_{v}\"" for v in values)
+
+
+@query(f"SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, {_dummies('o_orderstatus', 'FOP', 'o_orderstatus')} FROM orders")
+def one_hot(spark, sf_dir):
+    return OneHotStrategy().encode(load(spark, sf_dir, "orders", _ORDER), "o_orderstatus")
+
+
+@query(f"SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, {_dummies('o_orderstatus', 'OP', 'o_orderstatus')} FROM orders")
+def one_hot_drop_first(spark, sf_dir):
+    return OneHotStrategy(drop_first=True).encode(load(spark, sf_dir, "orders", _ORDER), "o_orderstatus")
+
+
+@query(f"SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, {_dummies('o_orderstatus', 'FOP', 'st')} FROM orders")
+def one_hot_prefix(spark, sf_dir):
+    return OneHotStrategy(prefix="st").encode(load(spark, sf_dir, "orders", _ORDER), "o_orderstatus")
+
+
+@query(f"SELECT l_orderkey, l_quantity, {', '.join(f'CAST(l_linenumber = {i} AS TINYINT) AS l_linenumber_{i}' for i in range(1, 8))} FROM lineitem")
+def one_hot_numbers(spark, sf_dir):
+    df = load(spark, sf_dir, "lineitem", ["l_orderkey", "l_quantity", "l_linenumber"])
+    return OneHotStrategy(categories=list(range(1, 8))).encode(df, "l_linenumber")
+
+
+_HOLED = "CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE {} END"
+
+
+@query(f"SELECT o_orderkey, {_dummies('', 'FOP', 'status', '(' + _HOLED.format('o_orderstatus') + ')')} FROM orders")
+def one_hot_nulls(spark, sf_dir):
+    df = load(spark, sf_dir, "orders").selectExpr("o_orderkey", _HOLED.format("o_orderstatus") + " AS status")
+    return OneHotStrategy().encode(df, "status")
+
+
+_KEEP = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
+
+
+@query(
+    f"SELECT {_KEEP}, coalesce(f, 0.0) AS o_orderpriority_freq FROM orders LEFT JOIN "
+    "(SELECT o_orderpriority AS k, count(*) / sum(count(*)) OVER () AS f FROM orders GROUP BY 1) ON o_orderpriority = k"
+)
+def freq_encode(spark, sf_dir):
+    return FeatureEngineer(FrequencyEncodingStrategy()).fit_transform(load(spark, sf_dir, "orders", _ORDER), "o_orderpriority")
+
+
+@query(
+    f"SELECT {_KEEP}, CAST(f AS DOUBLE) AS o_orderpriority_freq FROM orders LEFT JOIN "
+    "(SELECT o_orderpriority AS k, count(*) AS f FROM orders GROUP BY 1) ON o_orderpriority = k"
+)
+def freq_encode_counts(spark, sf_dir):
+    return FrequencyEncodingStrategy(normalize=False).encode(load(spark, sf_dir, "orders", _ORDER), "o_orderpriority")
+
+
+@query(
+    "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority, coalesce(f, 0.0) AS o_custkey_freq FROM orders LEFT JOIN "
+    "(SELECT o_custkey AS k, count(*) / sum(count(*)) OVER () AS f FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) ON o_custkey = k"
+)
+def freq_encode_unseen(spark, sf_dir):
+    df = load(spark, sf_dir, "orders", _ORDER)
+    return FrequencyEncodingStrategy().fit(df.where("o_orderkey % 2 = 0"), "o_custkey").encode(df, "o_custkey")
+
+
+@query(
+    f"WITH o AS (SELECT o_orderkey, {_HOLED.format('o_orderpriority')} AS priority FROM orders) "
+    "SELECT o_orderkey, coalesce(f, 0.0) AS priority_freq FROM o LEFT JOIN "
+    "(SELECT priority AS k, count(*) / sum(count(*)) OVER () AS f FROM o WHERE priority IS NOT NULL GROUP BY 1) ON priority = k"
+)
+def freq_encode_nulls(spark, sf_dir):
+    df = load(spark, sf_dir, "orders").selectExpr("o_orderkey", _HOLED.format("o_orderpriority") + " AS priority")
+    return FrequencyEncodingStrategy().encode(df, "priority")
+
+
+@query(
+    "SELECT l_orderkey, l_quantity, f AS l_partkey_freq FROM lineitem JOIN "
+    "(SELECT l_partkey AS k, count(*) / sum(count(*)) OVER () AS f FROM lineitem GROUP BY 1) ON l_partkey = k"
+)
+def freq_encode_high_cardinality(spark, sf_dir):
+    return FrequencyEncodingStrategy().encode(load(spark, sf_dir, "lineitem", ["l_orderkey", "l_quantity", "l_partkey"]), "l_partkey")
+
+
+def _target_sql(m: str, key: str = "o_orderpriority", keep: str = "o_orderkey, o_custkey, o_orderstatus, o_totalprice", where: str = "") -> str:
+    return (
+        f"WITH g AS (SELECT avg(o_totalprice) AS g FROM orders {where}), e AS (SELECT {key} AS k, "
+        f"(count(o_totalprice) * avg(o_totalprice) + {m} * (SELECT g FROM g)) / (count(o_totalprice) + {m}) AS e FROM orders {where} GROUP BY 1) "
+        f"SELECT {keep}, round(coalesce(e, (SELECT g FROM g)), 6) AS {key}_target_enc FROM orders LEFT JOIN e ON {key} = k"
+    )
+
+
+def _target(spark, sf_dir, smoothing: float, key: str = "o_orderpriority", where: str | None = None) -> DataFrame:
+    df = load(spark, sf_dir, "orders", _ORDER)
+    encoder = TargetEncodingStrategy(smoothing, "o_totalprice").fit(df.where(where) if where else df, key)
+    name = f"{key}_target_enc"
+    return encoder.encode(df, key).withColumn(name, F.round(name, 6))
+
+
+@query(_target_sql("10.0"))
+def target_encode(spark, sf_dir):
+    return _target(spark, sf_dir, 10.0)
+
+
+@query(_target_sql("CAST(1e9 AS DOUBLE)"))
+def target_encode_m1e9(spark, sf_dir):
+    return _target(spark, sf_dir, 1e9)
+
+
+@query(_target_sql("0.0"))
+def target_encode_m0(spark, sf_dir):
+    return _target(spark, sf_dir, 0.0)
+
+
+@query(_target_sql("10.0", "o_custkey", "o_orderkey, o_orderstatus, o_totalprice, o_orderpriority", "WHERE o_orderkey % 2 = 0"))
+def target_encode_unseen(spark, sf_dir):
+    return _target(spark, sf_dir, 10.0, "o_custkey", "o_orderkey % 2 = 0")
+
+
+@query(
+    f"WITH o AS (SELECT o_orderkey, {_HOLED.format('o_orderpriority')} AS priority, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders), "
+    "g AS (SELECT avg(price) AS g FROM o), e AS (SELECT priority AS k, (count(price) * avg(price) + 10.0 * (SELECT g FROM g)) / (count(price) + 10.0) AS e FROM o WHERE priority IS NOT NULL GROUP BY 1) "
+    "SELECT o_orderkey, price, round(coalesce(e, (SELECT g FROM g)), 6) AS priority_target_enc FROM o LEFT JOIN e ON priority = k"
+)
+def target_encode_nulls(spark, sf_dir):
+    priority, price = _HOLED.format("o_orderpriority") + " AS priority", "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price"
+    df = load(spark, sf_dir, "orders").selectExpr("o_orderkey", priority, price)
+    out = FeatureEngineer(TargetEncodingStrategy()).fit_transform(df, "priority", "price")
+    return out.withColumn("priority_target_enc", F.round("priority_target_enc", 6))
+
+
+@query(
+    "SELECT o_orderpriority AS category, round((count(*) * avg(o_totalprice) + 10.0 * (SELECT avg(o_totalprice) FROM orders)) / (count(*) + 10.0), 6) AS encoding FROM orders GROUP BY 1"
+)
+def target_mapping(spark, sf_dir):
+    df = load(spark, sf_dir, "orders", ["o_orderpriority", "o_totalprice"])
+    mean = df.agg(F.avg("o_totalprice")).first()[0]
+    mapping = TargetEncodingStrategy().mapping(df, "o_orderpriority", "o_totalprice", mean)
+    return mapping.withColumn("encoding", F.round("encoding", 6))
+
+
+@query(
+    f"SELECT o_orderkey, o_custkey, o_totalprice, f AS o_orderpriority_freq, {_dummies('o_orderstatus', 'FOP', 'o_orderstatus')} FROM orders JOIN "
+    "(SELECT o_orderpriority AS k, count(*) / sum(count(*)) OVER () AS f FROM orders GROUP BY 1) ON o_orderpriority = k"
+)
+def strategy_hot_swap(spark, sf_dir):
+    engineer = FeatureEngineer(FrequencyEncodingStrategy())
+    df = engineer.fit_transform(load(spark, sf_dir, "orders", _ORDER), "o_orderpriority")
+    engineer.set_strategy(OneHotStrategy())
+    return engineer.fit_transform(df, "o_orderstatus")
+
+
+# Ordered rows, casts, events, fingerprints ---------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey <> (SELECT max(o_orderkey) FROM orders)")
+def drop_last_row(spark, sf_dir):
+    return rows.drop_last_row(load(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"]), "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1")
+def first_row(spark, sf_dir):
+    return rows.first_row(load(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"]), "o_orderkey")
+
+
+@query("SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey FROM orders")
+def temp_cast(spark, sf_dir):
+    with casts.temp_dtypes(load(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"]), {"o_custkey": "float64"}) as df:
+        return df
+
+
+@query("SELECT o_orderkey, CAST(CAST(trunc(o_totalprice) AS BIGINT) AS DOUBLE) AS o_totalprice FROM orders")
+def cast_roundtrip(spark, sf_dir):
+    return casts.cast_roundtrip(load(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"]), {"o_totalprice": "int64"})
+
+
+def _observed(spark, sf_dir, *observers) -> None:
+    source = ParquetLoader(f"{sf_dir}/orders.parquet", ["o_orderkey", "o_totalprice"])
+    pipeline = Pipeline([source, DropLastRowStep("o_orderkey"), FirstRowStep("o_orderkey"), SelectStep(["o_orderkey"])], metrics="eager")
+    for o in observers:
+        pipeline.attach_observer(o)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        pipeline.run(None)
+    pipeline.release()
+
+
+@query(
+    "SELECT 'parquet_loader' AS step, 'ParquetLoader' AS step_class, CAST(NULL AS BIGINT) AS rows_in, count(*) AS rows_out FROM orders "
+    "UNION ALL SELECT 'drop_last_row', 'DropLastRowStep', count(*), count(*) - 1 FROM orders "
+    "UNION ALL SELECT 'first_row', 'FirstRowStep', count(*) - 1, 1 FROM orders UNION ALL SELECT 'select', 'SelectStep', 1, 1"
+)
+def pipeline_metrics(spark, sf_dir):
+    metrics = MetricsObserver()
+    _observed(spark, sf_dir, metrics)
+    return metrics.to_df(spark).drop("duration_ms")
+
+
+@query("SELECT 1 AS alert, concat('[first_row] lost 100.0% of its rows (', count(*) - 1, ' -> 1)') AS message FROM orders")
+def alert_drop_ratio(spark, sf_dir):
+    alerts = AlertObserver(0.5)
+    _observed(spark, sf_dir, alerts)
+    return spark.createDataFrame(list(enumerate(alerts.alerts, 1)), "alert int, message string")
+
+
+@query()
+def content_fingerprint_orders(spark, sf_dir):
+    return content_fingerprint(load(spark, sf_dir, "orders"))
