@@ -401,7 +401,7 @@ def pipeline_metrics(spark, sf_dir):
     return metrics.to_df(spark).drop("duration_ms")
 
 
-@query("SELECT 1 AS alert, concat('[first_row] lost 100.0% of its rows (', count(*) - 1, ' -> 1)') AS message FROM orders")
+@query("SELECT 1 AS alert, concat('[first_row] lost ', format('{:.1f}', 100.0 - 100.0 / (count(*) - 1)), '% of its rows (', count(*) - 1, ' -> 1)') AS message FROM orders")
 def alert_drop_ratio(spark, sf_dir):
     alerts = AlertObserver(0.5)
     _observed(spark, sf_dir, alerts)

@@ -114,7 +114,7 @@ def _inferred(frame: DataFrame) -> dict[str, str]:
         "double": lambda c: c.rlike(r"^\s*[+-]?(\d|\.\d|inf)") & c.try_cast("double").isNotNull(),
         "boolean": lambda c: F.lower(c).isin("true", "false"),
     }
-    checks = [F.bool_and(fits[k](F.col(quoted(c)))).alias(f"{i}_{k}") for i, c in enumerate(frame.columns) for k in kinds]
+    checks = [F.bool_and(F.when(F.col(quoted(c)).isNotNull(), fits[k](F.col(quoted(c))))).alias(f"{i}_{k}") for i, c in enumerate(frame.columns) for k in kinds]
     row = frame.agg(*checks).first() if checks else {}
     return {c: next((k for k in kinds if row[f"{i}_{k}"]), "string") for i, c in enumerate(frame.columns)}
 
