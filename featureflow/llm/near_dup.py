@@ -9,7 +9,7 @@ of diagonals that the threshold allows: with ``m`` k-mers aligned in order, of `
 the similarity is m / (a + b - m), and a link needs ``SIMILARITY`` (0.8) or more. As labelled
 k-mers are unique in a text, the best alignment is the longest increasing run of matches.
 
-Equal texts (equal word sequences) are one node. A band's bucket is not expanded into pairs:
+Equal texts are one node. A band's bucket is not expanded into pairs:
 its members are compared with one leader, band group after band group, and only where a bucket
 still holds several components. What is left in the end, members of buckets with several
 components, goes through an exact prefix filter: of two texts as similar as asked, the rarest
@@ -20,7 +20,9 @@ sketches and in enough of ``BITS`` one-bit minima are verified, first the pairs
 linked and then, between what is still apart, all that may be. A pair at the threshold meets
 all this with a probability of 0.9999 or more, whatever the number of texts.
 
-Defined cases: null texts and texts without words are equal to one another; texts of fewer than
+The texts of nodes that share a bucket are gathered once; all rounds verify from that table.
+
+Defined cases: null texts and texts without words are duplicates of one another; texts of fewer than
 five words have one k-mer, all their words; very long texts are read whole; class_id is the
 smallest doc_id of the class (null only if all are null); rows repeated with the same doc_id count in
 class_size and share ``kept``; an empty table gives an empty result; other columns are ignored.
@@ -35,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored
+from .common import stored
 from .graph import components
 
 KMER = 5
@@ -45,8 +47,8 @@ SIMILARITY = 0.8
 AGREE = 2
 #: One-bit minima of the last comparison. At the threshold 0.9 of them agree; the second bound
 #: lies 4.7 standard deviations below.
-BITS = 4096
-NEAR_BITS = (3690, 3596)
+BITS = 2048
+NEAR_BITS = (1850, 1779)
 #: Bands compared with leaders in one round.
 ROUNDS = (range(0, 4), range(4, SKETCHES))
 SEED = 11
@@ -105,10 +107,10 @@ def labelled_kmers(text: str | None) -> np.ndarray:
 
 
 def sketches(kmers: np.ndarray) -> list[int]:
-    """SKETCHES signed 64-bit keys, each of TAKEN k-mers in text order; none for no k-mers."""
+    """SKETCHES signed 64-bit keys, each of TAKEN k-mers in text order; fixed ones for no k-mers."""
     n = len(kmers)
     if not n:
-        return []
+        return _SEEDS.astype(np.int64).tolist()
     out = np.zeros(SKETCHES, np.uint64)
     lanes = SKETCHES if n <= 20_000 else 1  # long texts are ranked one hash at a time
     with np.errstate(over="ignore"):
@@ -128,6 +130,8 @@ def sketches(kmers: np.ndarray) -> list[int]:
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Aligned k-mers over all k-mers of both, by a banded alignment; 0.0 if below ``least``."""
     na, nb = len(a), len(b)
+    if not na and not nb:
+        return 1.0
     if not na or not nb or min(na, nb) < least * max(na, nb):
         return 0.0
     order = np.argsort(b)
@@ -153,9 +157,8 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def node_of(text):
-    """16 bytes that name a word sequence."""
-    words = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
-    return F.unhex(F.substring(F.sha2(words, 256), 1, 32))
+    """16 bytes that name a text."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
 
 def _sketched(batches):
@@ -196,18 +199,19 @@ def near_classes(docs: DataFrame) -> DataFrame:
     places = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
     shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("key").alias("s_key"))
     buckets = stored(places.join(shared, F.col("key") == F.col("s_key"), "left_semi"), "omh-buckets")
-    known = nodes.select(F.col("node").alias("k_node"), "keys")
-    texts = picked.select(F.col("node").alias("t_node"), "text")
+    asked = buckets.select(F.col("node").alias("w")).distinct()
+    known = stored(nodes.join(asked, F.col("node") == F.col("w"), "left_semi").select(F.col("node").alias("k_node"), "keys"), "omh-known")
+    # Copies are reduced to one text before the shuffle.
+    texts = picked.groupBy(F.col("node").alias("t_node")).agg(F.first("text").alias("text"))
+    texts = stored(texts.join(asked, F.col("t_node") == F.col("w"), "left_semi"), "omh-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among the pairs (a, b): sketches first, whole texts for what is left."""
         pairs = pairs.join(known.withColumnRenamed("keys", "a_keys"), F.col("a") == F.col("k_node")).drop("k_node")
         pairs = pairs.join(known.withColumnRenamed("keys", "b_keys"), F.col("b") == F.col("k_node")).drop("k_node")
-        pairs = stored(pairs.where(_agree("a_keys", "b_keys") >= AGREE).select("a", "b"), "omh-pairs")
-        asked = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
-        own = stored(texts.join(asked, F.col("t_node") == F.col("w"), "left_semi").dropDuplicates(["t_node"]), "omh-texts")
-        full = pairs.join(own.withColumnRenamed("text", "a_text"), F.col("a") == F.col("t_node")).drop("t_node")
-        full = full.join(own.withColumnRenamed("text", "b_text"), F.col("b") == F.col("t_node")).drop("t_node")
+        pairs = pairs.where(_agree("a_keys", "b_keys") >= AGREE).select("a", "b")
+        full = pairs.join(texts.withColumnRenamed("text", "a_text"), F.col("a") == F.col("t_node")).drop("t_node")
+        full = full.join(texts.withColumnRenamed("text", "b_text"), F.col("b") == F.col("t_node")).drop("t_node")
         return stored(full.mapInPandas(_verified, "a binary, b binary"), "omh-links")
 
     classes = None  # node -> component, for nodes with links
@@ -235,8 +239,15 @@ def near_classes(docs: DataFrame) -> DataFrame:
     mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(F.col("key").alias("h_key"))
     left = stored(placed.join(mixed, F.col("key") == F.col("h_key"), "left_semi").select("node", "n").distinct(), "omh-open")
     items, prefixes = _prefixes(left, texts)
+    bits = None
     for near in NEAR_BITS:
-        compared(_prefix_pairs(_placed(prefixes, classes), items, known, near))
+        heads = _mixed_heads(_placed(prefixes, classes))
+        if bits is None:  # components only grow, so later rounds ask for no other node
+            nodes_left = heads.select(F.col("node").alias("q_node")).distinct()
+            bits = items.join(nodes_left, F.col("i_node") == F.col("q_node"), "left_semi")
+            bits = bits.mapInPandas(_bits, "b_node binary, bits array<long>").join(known, F.col("b_node") == F.col("k_node")).drop("k_node")
+            bits = stored(bits, "omh-bits")
+        compared(_prefix_pairs(heads, bits, near))
     out = rows.select("doc_id", F.col("node").alias("o_node")).join(classes, F.col("o_node") == F.col("c_node"), "left")
     out = out.select("doc_id", F.coalesce("comp", "o_node").alias("part"))
     sizes = out.groupBy("part").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).withColumnRenamed("part", "s_part")
@@ -256,7 +267,7 @@ def _prefixes(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]
 
     A prefix is the first n - ceil(0.8 n) + 1 k-mers in the order of (texts that hold it, k-mer).
     """
-    own = texts.join(nodes, F.col("t_node") == F.col("node"), "left_semi").dropDuplicates(["t_node"])
+    own = texts.join(nodes, F.col("t_node") == F.col("node"), "left_semi")
     items = stored(own.mapInPandas(_kmer_ids, "i_node binary, ids array<long>"), "omh-kmers")
     rows = items.select("i_node", F.explode("ids").alias("id"))
     common = rows.groupBy("id").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumnRenamed("id", "c_id")
@@ -268,15 +279,17 @@ def _prefixes(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]
     return items, stored(heads.select("node", "n", F.col("item.id").alias("id")), "omh-prefixes")
 
 
-def _prefix_pairs(heads: DataFrame, items: DataFrame, known: DataFrame, near: int) -> DataFrame:
-    """Pairs (a, b) of nodes in different components that share an id and agree in ``near`` bits."""
+def _mixed_heads(heads: DataFrame) -> DataFrame:
+    """Prefix rows whose id occurs in several components."""
     mixed = heads.groupBy("id").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(F.col("id").alias("m_id"))
-    heads = stored(heads.join(mixed, F.col("id") == F.col("m_id"), "left_semi"), "omh-heads")
-    asked = heads.groupBy(F.col("node").alias("q_node")).agg(F.sort_array(F.collect_set("id")).alias("own"))  # one text's k-mers
-    asked = asked.join(items, F.col("q_node") == F.col("i_node")).select("q_node", "own", "ids")
-    asked = asked.mapInPandas(_bits, "b_node binary, own array<long>, bits array<long>")
-    asked = stored(asked.join(known, F.col("b_node") == F.col("k_node")).drop("k_node"), "omh-bits")
-    heads = heads.join(asked, F.col("node") == F.col("b_node")).drop("b_node")
+    return stored(heads.join(mixed, F.col("id") == F.col("m_id"), "left_semi"), "omh-heads")
+
+
+def _prefix_pairs(heads: DataFrame, bits: DataFrame, near: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that share an id and agree in ``near`` bits."""
+    own = heads.groupBy(F.col("node").alias("q_node")).agg(F.sort_array(F.collect_set("id")).alias("own"))  # one text's k-mers
+    own = own.join(bits, F.col("q_node") == F.col("b_node")).drop("b_node")
+    heads = heads.join(own, F.col("node") == F.col("q_node")).drop("q_node")
     x, y = heads.alias("x"), heads.alias("y")
     meet = (F.col("x.id") == F.col("y.id")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & _similar_size(F.col("x.n"), F.col("y.n"))
     differ = F.lit(0)
@@ -290,7 +303,7 @@ def _prefix_pairs(heads: DataFrame, items: DataFrame, known: DataFrame, near: in
 def _bits(batches):
     for pdf in batches:
         bits = [one_bit_minima(np.asarray(i, np.int64).view(np.uint64)) for i in pdf["ids"]]
-        yield pd.DataFrame({"b_node": pdf["q_node"], "own": pdf["own"], "bits": bits})
+        yield pd.DataFrame({"b_node": pdf["i_node"], "bits": bits})
 
 
 def one_bit_minima(kmers: np.ndarray) -> list[int]:
