@@ -195,15 +195,20 @@ def nearest(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL) ->
             owners = points["ids"].tolist()
             firsts = np.array([o[0] for o in owners])
             keep = min(len(x), k + 1)
+            size = np.sqrt((x * x).sum(axis=1)).max()
             for lo in range(0, len(asking), 256):
                 part = asking.iloc[lo : lo + 256]
                 q = _matrix(part["embedding"])
-                near = np.argpartition(-(q @ x.T), keep - 1, axis=1)[:, :keep] if keep < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
+                rough = q @ x.T
+                # A product's rounding differs by a hair from the exact sum's, so ties at the edge stay in.
+                edge = np.partition(rough, len(x) - keep, axis=1)[:, len(x) - keep]
+                edge -= 1e-9 * size * np.sqrt((q * q).sum(axis=1))
                 for i, qid in enumerate(part["query_id"]):
-                    score = (x[near[i]] * q[i]).sum(axis=1)
+                    near = np.flatnonzero(rough[i] >= edge[i])
+                    score = (x[near] * q[i]).sum(axis=1)
                     ids, values = [], []
-                    for j in np.lexsort((firsts[near[i]], -score)):
-                        own = [int(o) for o in owners[near[i][j]] if o != qid]
+                    for j in np.lexsort((firsts[near], -score)):
+                        own = [int(o) for o in owners[near[j]] if o != qid]
                         ids += own
                         values += [float(score[j])] * len(own)
                         if len(ids) >= k and len(values) and score[j] < values[k - 1]:
