@@ -6,8 +6,10 @@ occurs. Subtrees that recur on many pages of their host are template and are del
 boilerplate by its element (navigation, footers, forms, scripts ...) goes as well, and the
 article's blocks are joined.
 
-Hashes that recur are sent back to the pages that hold them by (host, hash), a join that AQE
-splits for a hot host; no task sees all pages of a host.
+A page is parsed once, into the pieces of its blocks; a piece carries the hashes of the subtrees
+around it that could be template. Pages without such hashes are done. For the others, hashes
+that recur are sent back by (host, hash), a join that AQE splits for a hot host; no task sees
+all pages of a host.
 
 Defined cases: null or empty html gives the empty text; html cut off inside a tag loses the
 open tag only; unclosed elements are closed as browsers do; a null url is a host of its own,
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections.abc import Iterable
 
 import pandas as pd
 import xxhash
@@ -173,41 +176,61 @@ def boilerplate(node: Node) -> bool:
     return False
 
 
-def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
-    """Blocks of the article, or of the body if there is none, joined by line feeds."""
-    articles = _tops(root, "article") or _tops(root, "main")
-    start = articles or [root]
-    inside = bool(articles)
-    blocks: list[str] = []
-    line: list[str] = []
-
-    def flush():
-        text = " ".join("".join(line).split())
-        if text:
-            blocks.append(text)
-        line.clear()
+def pieces(root: Node) -> list[tuple[str | None, tuple[int, ...]]]:
+    """(text, hashes of removable subtrees around it) in page order; None ends a block.
 
-    for top in start:
-        work: list = [("open", top)]
+    Reads the articles, or the whole body if there is none.
+    """
+    articles = _tops(root, "article") or _tops(root, "main")
+    out: list[tuple[str | None, tuple[int, ...]]] = []
+    for top in articles or [root]:
+        work: list = [(top, ())]
         while work:
-            what, node = work.pop()
-            if what == "close":
-                flush()
+            node, marks = work.pop()
+            if node is None:
+                out.append((None, ()))
             elif isinstance(node, str):
-                line.append(node)
+                out.append((node, marks))
             elif node.tag == "br":
-                line.append(" ")
-            elif node is not top and (boilerplate(node) or (node.tag == "header" and not inside) or (signed(node.hash) in template and not (inside and node.tag in PROSE_ELEMENTS))):
+                out.append((" ", marks))
+            elif node is not top and (boilerplate(node) or (node.tag == "header" and not articles)):
                 continue
             else:
+                if node is not top and removable(node) and not (articles and node.tag in PROSE_ELEMENTS):
+                    marks = (*marks, signed(node.hash))
                 if node.tag in BLOCK_ELEMENTS:
-                    flush()
-                    work.append(("close", None))
-                work.extend(("open", c) for c in reversed(node.children))
-        flush()
+                    out.append((None, ()))
+                    work.append((None, ()))
+                work.extend((c, marks) for c in reversed(node.children))
+        out.append((None, ()))
+    return out
+
+
+def removable(node: Node) -> bool:
+    """Whether an element may be template: short, not empty, and no container of the content."""
+    return bool(node.children) and node.chars <= MOST_TEMPLATE_CHARS and node.tag not in ("html", "body", "article", "main", "head")
+
+
+def assembled(parts: Iterable[tuple[str | None, Iterable[int]]], template: frozenset[int] = frozenset()) -> str:
+    """Blocks without the template's pieces, joined by line feeds."""
+    blocks: list[str] = []
+    line: list[str] = []
+    for text, marks in parts:
+        if text is not None:
+            if not template or template.isdisjoint(marks):
+                line.append(text)
+        elif line:
+            block = " ".join("".join(line).split())
+            if block:
+                blocks.append(block)
+            line.clear()
     return "\n".join(blocks)
 
 
+def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
+    return assembled(pieces(root), template)
+
+
 def _tops(root: Node, tag: str) -> list[Node]:
     """The outermost elements of a kind, in page order, outside boilerplate."""
     out, work = [], [root]
@@ -242,26 +265,46 @@ def extract_text(pages: DataFrame) -> DataFrame:
                     hashes += own
             yield pd.DataFrame({"page_id": pd.array(ids, dtype="Int64"), "host": pd.array(hosts, dtype="int64"), "hash": pd.array(hashes, dtype="int64")})
 
-    hosted = picked.select("page_id", F.xxhash64(host_of(F.col("url"))).alias("host"), "html")
-    trees = hosted.mapInPandas(subtrees, "page_id long, host long, hash long")
-    trees = stored(trees, "subtrees")
-    sizes = picked.select(F.xxhash64(host_of(F.col("url"))).alias("s_host")).groupBy("s_host").agg(F.count(F.lit(1)).alias("host_pages"))
+    hosted = picked.select("page_id", "url", F.xxhash64(host_of(F.col("url"))).alias("host"), "html")
+    parsed = hosted.mapInPandas(_parsed, f"page_id long, url string, host long, text string, marks array<long>, parts {_PARTS}")
+    parsed = stored(parsed, "parsed-pages")
+    marked = parsed.where(F.size("marks") > 0)
+    trees = marked.select("page_id", "host", F.explode("marks").alias("hash"))
+    sizes = parsed.groupBy(F.col("host").alias("s_host")).agg(F.count(F.lit(1)).alias("host_pages"))
     counts = trees.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
     recurring = counts.join(sizes, F.col("host") == F.col("s_host")).where(F.col("n") >= LEAST_SHARE * F.col("host_pages"))
     recurring = recurring.select(F.col("host").alias("r_host"), F.col("hash").alias("r_hash"))
-    marks = trees.join(recurring, (F.col("host") == F.col("r_host")) & (F.col("hash") == F.col("r_hash")))
-    marks = marks.groupBy(F.col("page_id").alias("m_page")).agg(F.collect_set("hash").alias("template"))
-    marked = picked.join(marks, F.col("page_id").eqNullSafe(F.col("m_page")), "left").select("page_id", "url", "html", "template")
-
-    def texts(batches):
-        for pdf in batches:
-            out = [
-                main_text(_with_hashes(s), frozenset(int(x) for x in t) if t is not None else frozenset()) if isinstance(s, str) and s else ""
-                for s, t in zip(pdf["html"], pdf["template"])
-            ]
-            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": pd.array(out, dtype=object), "n_chars": [len(t) for t in out]})
-
-    return marked.mapInPandas(texts, "page_id long, url string, text string, n_chars long")
+    found = trees.join(recurring, (F.col("host") == F.col("r_host")) & (F.col("hash") == F.col("r_hash")))
+    found = found.groupBy(F.col("page_id").alias("m_page")).agg(F.collect_set("hash").alias("template"))  # one page's subtrees
+    marked = marked.join(found, F.col("page_id").eqNullSafe(F.col("m_page")), "left").select("page_id", "url", "parts", "template")
+    done = parsed.where(F.size("marks") == 0).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return done.unionByName(marked.mapInPandas(_cleaned, "page_id long, url string, text string, n_chars long"))
+
+
+_PARTS = "array<struct<t:string,m:array<bigint>>>"
+
+
+def _parsed(batches):
+    for pdf in batches:
+        rows = []
+        for source in pdf["html"]:
+            parts = pieces(_with_hashes(source)) if isinstance(source, str) and source else []
+            marks = sorted({m for _, own in parts for m in own})
+            rows.append((None, marks, [{"t": t, "m": list(m)} for t, m in parts]) if marks else (assembled(parts), [], []))
+        out = pd.DataFrame(rows, columns=["text", "marks", "parts"])
+        out.insert(0, "page_id", pdf["page_id"].astype("Int64").array)
+        out.insert(1, "url", pdf["url"].array)
+        out.insert(2, "host", pdf["host"].array)
+        yield out
+
+
+def _cleaned(batches):
+    for pdf in batches:
+        out = []
+        for parts, template in zip(pdf["parts"], pdf["template"]):
+            gone = frozenset(int(x) for x in template) if template is not None else frozenset()
+            out.append(assembled(((p["t"], p["m"] if p["m"] is not None else ()) for p in parts), gone))
+        yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": pd.array(out, dtype=object), "n_chars": [len(t) for t in out]})
 
 
 def _with_hashes(source: str) -> Node:
