@@ -24,7 +24,8 @@ from featureflow.llm.quality import keep_good
 def _keeping(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """Rows of ``docs`` whose doc_id is among ``ids`` (column __keep), one row for each."""
     ids = stored(ids, name)
-    kept = docs.join(ids.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    # Merged at every size: ids grow with the documents, so a broadcast that happens to fit is no plan.
+    kept = docs.join(ids.distinct().hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi")
     # Ids are looked at alone, so that texts are only dealt anew where a row is repeated.
     unique = ids.groupBy("__keep").count().where("count > 1").isEmpty()
     return kept if unique else kept.dropDuplicates(["doc_id"])
