@@ -35,7 +35,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
     Cuts the lineage: later stages reread the table, whichever executor is lost. The
-    table is removed when the application ends.
+    table is removed by :func:`discard`, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -43,7 +43,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     if not _LEFT:
         atexit.register(_clean)
     _LEFT.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove stored tables that nothing still to be computed reads."""
+    for table in tables:
+        path = getattr(table, "_stored_path", None)
+        if path:
+            _remove(table.sparkSession, path)
+            _LEFT[:] = [x for x in _LEFT if x[1] != path]
 
 
 #: Rows of one Arrow batch: texts are long, and a Python worker holds a batch or two.
@@ -66,12 +77,15 @@ def ship(spark: SparkSession) -> None:
     context._featureflow_shipped = True
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _clean() -> None:
     for spark, path in _LEFT:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001 - the session is already gone; nothing is left to tell
             return
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).where("u <> v").distinct()
     both = stored(both, "edges")
-    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
+    held = labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
     while True:
         near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
         sunk = labels.join(near, F.col("node") == F.col("u")).select("node", "label", F.least("label", "near").alias("low"))
@@ -25,6 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         jump = sunk.select(F.col("node").alias("j_node"), F.col("low").alias("j_low"))
         moved = sunk.join(jump, F.col("low") == F.col("j_node")).select("node", F.col("label").alias("old"), F.col("j_low").alias("label"))
         moved = stored(moved, "labels")
-        labels = moved.select("node", "label")
+        discard(held, sunk)
+        held, labels = moved, moved.select("node", "label")
         if moved.where("old <> label").isEmpty():
+            discard(both)
             return labels

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 from .graph import components
 
 KMER = 5
@@ -216,6 +216,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     classes = None  # node -> component, for nodes with links
     tested = None
+    candidates: list[DataFrame] = []
 
     def compared(pairs: DataFrame):
         nonlocal tested, classes
@@ -225,7 +226,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
             pairs = pairs.join(done, (F.col("a") == F.col("d_a")) & (F.col("b") == F.col("d_b")), "left_anti")
         pairs = stored(pairs, "omh-candidates")
         tested = pairs if tested is None else tested.union(pairs)
-        classes = _joined(classes, verified(pairs))
+        candidates.append(pairs)
+        links, before = verified(pairs), classes
+        classes = _joined(classes, links)
+        discard(links, before)
 
     for bands in ROUNDS:
         placed = _placed(buckets.where(F.col("band").isin(list(bands))), classes)
@@ -248,6 +252,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
             bits = bits.mapInPandas(_bits, "b_node binary, bits array<long>").join(known, F.col("b_node") == F.col("k_node")).drop("k_node")
             bits = stored(bits, "omh-bits")
         compared(_prefix_pairs(heads, bits, near))
+        discard(heads)
+    discard(nodes, buckets, known, texts, left, items, prefixes, bits, *candidates)
     out = rows.select("doc_id", F.col("node").alias("o_node")).join(classes, F.col("o_node") == F.col("c_node"), "left")
     out = out.select("doc_id", F.coalesce("comp", "o_node").alias("part"))
     sizes = out.groupBy("part").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).withColumnRenamed("part", "s_part")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 SHARDS = 40
 OVERHEAD = 16
@@ -112,7 +112,8 @@ def kd_tree(items: DataFrame, shards: int) -> DataFrame:
             place = F.when(F.col("node") == n, F.when(F.col(o["dim"]) < edge, F.lit(2 * n)).otherwise(F.lit(2 * n + 1))).otherwise(place)
             children[2 * n], children[2 * n + 1] = (first, k // 2), (first + k // 2, k - k // 2)
         nodes = children
-        items = stored(items.withColumn("node", place), "kd-nodes")
+        before, items = items, stored(items.withColumn("node", place), "kd-nodes")
+        discard(before)
     shard = F.lit(0)
     for n, s in leaves.items():
         shard = F.when(F.col("node") == n, s).otherwise(shard)
@@ -129,7 +130,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
         F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), text.isNull().alias("n")).alias("text_key"),
     )
-    rows = stored(rows, "shard-rows")
+    raw = rows = stored(rows, "shard-rows")
     groups = _items(rows, shards)
     marked = rows.join(groups.where("g_split").select(F.col("text_key").alias("s_key")), F.col("text_key") == F.col("s_key"), "left")
     # Rows of a large item are items themselves: their key carries the row's own hash.
@@ -147,7 +148,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     items = stored(items, "kd-items")
     placed = kd_tree(_keyed(items), shards).select(F.col("item").alias("p_item"), "shard")
-    rows = stored(rows.join(placed, F.col("item") == F.col("p_item")).drop("p_item", "item"), "kd-rows")
+    placed_rows = stored(rows.join(placed, F.col("item") == F.col("p_item")).drop("p_item", "item"), "kd-rows")
+    discard(raw, rows, items)
+    rows = placed_rows
     return _slotted(rows, shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
