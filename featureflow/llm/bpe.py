@@ -19,6 +19,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,9 +31,9 @@ from .common import by_bytes
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Characters of text whose words are merged together.
-BLOCK = 1 << 21
+BLOCK = 1 << 22
 #: Pre-tokens a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 NONE = np.int64(1 << 40)
 
 # The pre-token pattern of byte-level BPE.
@@ -78,7 +79,10 @@ class ByteBPE:
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.newer = regex.compile(f"[^\\x00-{chr(ord(AGREED_BELOW) - 1)}]")
+        #: Of each pre-token (and special token) met: its ids, their names, and the bytes they decode to.
         self.known: dict[str, tuple[int, ...]] = {}
+        self.names: dict[str, str] = {}
+        self.raws: dict[str, bytes] = {}
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 20 | b
@@ -161,40 +165,63 @@ class ByteBPE:
             start = stop
         return out
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
-        """Ids of each text."""
+    def words(self, text: str | None) -> list[str]:
+        """Pre-tokens and special tokens, in order."""
+        if not text:
+            return []
+        if not self.split or not self.split.search(text):
+            return self.pre_tokens(text)
+        out: list[str] = []
+        at = 0
+        for m in self.split.finditer(text):
+            out += self.pre_tokens(text[at : m.start()])
+            out.append(m.group())  # no pre-token is equal to it, as it would have been cut out here
+            at = m.end()
+        return out + self.pre_tokens(text[at:])
+
+    def blocks(self, texts: list[str | None]) -> Iterator[list[list[str]]]:
+        """The words of each text, block by block, all of them known."""
         for start, stop in by_bytes(texts, BLOCK):
-            cut: list[list] = []
-            for text in texts[start:stop]:
-                parts: list = []
-                at = 0
-                for m in self.split.finditer(text) if self.split and text else ():
-                    parts.append(self.pre_tokens(text[at : m.start()]))
-                    parts.append(self.special[m.group()])
-                    at = m.end()
-                parts.append(self.pre_tokens(text[at:] if at else text) if text else [])
-                cut.append(parts)
+            cut = [self.words(t) for t in texts[start:stop]]
             if len(self.known) > REMEMBERED:
-                self.known.clear()
-            known = self.known
-            new = list({w for parts in cut for p in parts if not isinstance(p, int) for w in p if w not in known})
+                for held in (self.known, self.names, self.raws):
+                    held.clear()
+            if not self.known:
+                self.learn(list(self.special), [(i,) for i in self.special.values()])
+            new = [w for w in set().union(*cut) if w not in self.known]
             if new:
-                known.update(zip(new, self.merge(new)))
-            for parts in cut:
-                ids: list[int] = []
-                for p in parts:
-                    if isinstance(p, int):
-                        ids.append(p)
-                    else:
-                        for w in p:
-                            ids += known[w]
-                yield ids
+                self.learn(new, self.merge(new))
+            yield cut
+
+    def learn(self, words: list[str], ids: list[tuple[int, ...]]) -> None:
+        pieces = self.pieces
+        self.known.update(zip(words, ids))
+        self.names.update((w, ",".join(map(str, i))) for w, i in zip(words, ids))
+        self.raws.update((w, b"".join([pieces[x] for x in i])) for w, i in zip(words, ids))
+
+    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """Ids of each text."""
+        for cut in self.blocks(texts):
+            for words in cut:
+                yield list(chain.from_iterable(map(self.known.__getitem__, words)))
+
+    def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        """Of each text: number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text."""
+        for cut in self.blocks(texts):
+            for words in cut:
+                named = ",".join(map(self.names.__getitem__, words))
+                decoded = b"".join(map(self.raws.__getitem__, words)).decode("utf-8", errors="replace")
+                yield named.count(",") + bool(named), _sha(named), _sha(decoded)
 
     def decode(self, ids) -> str:
         pieces = self.pieces
         return b"".join([pieces[i] for i in ids]).decode("utf-8", errors="replace")
 
 
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> ByteBPE:
     return ByteBPE(path)
@@ -207,6 +234,20 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _gathered(batches) -> Iterator[pd.DataFrame]:
+    """Arrow batches joined until they fill a block."""
+    held: list[pd.DataFrame] = []
+    room = 0
+    for pdf in batches:
+        held.append(pdf)
+        room += int(pdf["text"].str.len().sum())
+        if room >= BLOCK:
+            yield pd.concat(held, ignore_index=True)
+            held, room = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def bpe_encode(docs: DataFrame, vocabulary: str | None = None, digests_only: bool = False) -> DataFrame:
     """One row per document: doc_id, ids array<int>, decoded string.
 
@@ -217,23 +258,14 @@ def bpe_encode(docs: DataFrame, vocabulary: str | None = None, digests_only: boo
 
     def run(batches):
         bpe = tokenizer(vocabulary or vocabulary_path())
-        for pdf in batches:
+        names = list(columns)[1:]
+        for pdf in _gathered(batches):
             texts = [t if isinstance(t, str) else None for t in pdf["text"]]
-            ids_of = doc_rows(bpe, texts)
-            frame = pd.DataFrame(ids_of, columns=list(columns)[1:]) if texts else pd.DataFrame({c: [] for c in list(columns)[1:]})
+            rows = bpe.digests(texts) if digests_only else ((ids, bpe.decode(ids)) for ids in bpe.encode(texts))
+            frame = pd.DataFrame(dict(zip(names, map(list, zip(*rows)))) if texts else {n: [] for n in names})
             frame.insert(0, "doc_id", pdf["doc_id"].astype("Int64").array)
             yield frame
 
-    def doc_rows(bpe, texts):
-        rows = []
-        for ids in bpe.encode(texts):
-            if digests_only:
-                named = ",".join(map(str, ids)).encode()
-                rows.append((len(ids), hashlib.sha256(named).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
-            else:
-                rows.append((ids, bpe.decode(ids)))
-        return rows
-
     columns = {"doc_id": "long", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
     if not digests_only:
         columns = {"doc_id": "long", "ids": "array<int>", "decoded": "string"}
