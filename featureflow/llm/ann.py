@@ -17,7 +17,8 @@ vector gather in one task.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or have
 another length than most vectors (ties: the longer), and rows with a null vec_id, take no part;
-a row repeated with its vec_id is one candidate; ties go to the smaller vec_id; fewer
+a row repeated with its vec_id is one candidate, and rows of one vec_id with several vectors
+share one list of results; ties go to the smaller vec_id; fewer
 candidates than k are all returned; an empty table gives an empty result; other columns are
 ignored.
 """

@@ -10,7 +10,8 @@ Words are lower-cased runs of letters with a mark before them; other characters
 about the language. A worker remembers scores of words it has met (``REMEMBERED`` at most).
 
 Trained on at most ``ROWS_PER_LANGUAGE`` labelled rows of each language, chosen by a hash of
-doc_id among the rows that are not held out. Defined cases: null texts and texts without a
+doc_id among the rows that are not held out and have ``TRAINING_CHARS`` characters at most.
+Defined cases: null texts and texts without a
 letter are ``und`` with score 0; ties go to the first language in code-point order; texts and
 words of any length are scored whole; null languages teach nothing; without any training row
 every text is ``und``; repeated rows are scored alike; an empty table gives an empty result;
@@ -34,6 +35,8 @@ from .common import by_bytes, crc_mod4
 
 VOCABULARY = "byte_bpe_50k.json"
 ROWS_PER_LANGUAGE = 150
+#: Longer texts are predicted whole like all others, but are not sent to the driver to learn from.
+TRAINING_CHARS = 200_000
 #: Characters of a training text are bounded as well, over all rows of a language.
 CHARS_PER_LANGUAGE = 400_000
 LONGEST_PIECE = 8
@@ -270,7 +273,7 @@ def _normal(counts: np.ndarray) -> np.ndarray:
 
 def training_rows(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> list[tuple[str, str]]:
     """At most ``per_language`` rows of each language, not held out, in order of a hash."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod4("doc_id") != 2))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod4("doc_id") != 2) & (F.length("text") <= TRAINING_CHARS))
     picked = known.select(F.col("lang").alias("l"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("doc_id").alias("h"), "text")
     best = W.partitionBy("l").orderBy("h", "i")
     # The rank filter runs before the shuffle as well, so a hot language sends few rows.

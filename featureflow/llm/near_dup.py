@@ -318,6 +318,8 @@ def one_bit_minima(kmers: np.ndarray) -> list[int]:
     r = np.random.default_rng(SEED + 2)
     odd = r.integers(1, 2**62, BITS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     low = np.zeros(BITS, np.uint8)
+    if not n:
+        return np.packbits(low).view(np.int64).tolist()
     lanes = max(1, min(BITS, 500_000 // max(1, n)))
     with np.errstate(over="ignore"):
         for lo in range(0, BITS, lanes):

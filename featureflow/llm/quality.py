@@ -7,11 +7,14 @@ repeated words. Every channel is max-pooled over all chunks, and a logistic laye
 pooled values into the probability of label 1.
 
 Trained on the driver by Adam on at most ``ROWS_PER_LABEL`` labelled rows of each label that
-are not held out, chosen by a hash of doc_id; the gradient of a max only touches the window
+are not held out, chosen by a hash of doc_id, less those of more than ``TRAINING_CHARS``
+characters; the gradient of a max only touches the window
 that won. Training and scoring use seeded numbers only, so reruns agree.
 
-Defined cases: null and empty texts have no window and score by the bias and zero channels;
-texts shorter than a filter are padded with zero bytes; very long texts are scored whole, a
+Neighbouring chunks share WIDTH - STRIDE bytes, so that no window is missed.
+
+Defined cases: null and empty texts are one window of zero bytes, and texts shorter than a
+filter are padded with them; very long texts are scored whole, a
 chunk at a time; rows with several labels teach each of them; null labels teach nothing;
 without labels every score is 0.5, with one label only the score is 1 or 0; repeated rows are
 scored alike; an empty table gives an empty result; other columns are ignored.
@@ -28,14 +31,14 @@ from pyspark.sql import functions as F
 from .common import crc_mod4
 
 ROWS_PER_LABEL = 1000
+#: Longer texts are scored whole like all others, but are not sent to the driver to learn from.
+TRAINING_CHARS = 200_000
 EMBED, FILTERS, WIDTH, STRIDE = 6, 16, 12, 4
 CHUNK = 1024
 LAGS = range(2, 18)
 EPOCHS, BATCH, RATE = 16, 16, 0.02
 THRESHOLD = 0.7
 SEED = 20240229
-#: Bytes that neighbouring chunks share.
-_OVERLAP = WIDTH - STRIDE
 
 
 class Net:
@@ -142,7 +145,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = ROWS_PER_
     known = known.select(F.col("doc_id").cast("long").alias("l_id"), F.col("quality").cast("int").alias("y"), F.xxhash64("doc_id").alias("h")).distinct()
     best = W.partitionBy("y").orderBy("h", "l_id")
     known = known.withColumn("n", F.row_number().over(best)).where(F.col("n") <= per_label).select("l_id", "y", "h")
-    texts = docs.select(F.col("doc_id").cast("long").alias("t_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("t_id"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= TRAINING_CHARS)
     # The ids are at most 2 * per_label rows, so their broadcast is bounded.
     found = texts.join(F.broadcast(known), F.col("t_id") == F.col("l_id")).orderBy("h", "l_id", "y", "text")
     return [(r["text"] or "", r["y"]) for r in found.select("h", "l_id", "y", "text").collect()]
