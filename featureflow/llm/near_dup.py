@@ -140,7 +140,8 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     hit = held[at] == a
     i, j = np.flatnonzero(hit), order[at[hit]]
     # At the threshold both texts have (na + nb) (1 - least) / (1 + least) unaligned k-mers together.
-    width = (na + nb) * (1 - least) / (1 + least)
+    # Rounding must not narrow the band; where it widens it, the similarity still decides.
+    width = int((na + nb) * (1 - least) / (1 + least) + 1e-6)
     j = j[np.abs(i - j) <= width]
     if len(j) < least * (na + nb - len(j)):
         return 0.0

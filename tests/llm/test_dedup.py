@@ -133,6 +133,17 @@ def test_similarity_is_an_ordered_overlap():
     assert len(near_dup.sketches(k)) == near_dup.SKETCHES
 
 
+def test_band_at_the_threshold():
+    """4 n of 5 n k-mers are left when words stand before a text: exactly 0.8."""
+    for n in (*range(1, 60), 333, 1999):
+        words = [f"u{i}" for i in range(4 * n + 4)]
+        t, longer = " ".join(words), " ".join([f"v{i}" for i in range(n)] + words)
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split(), longer.split()))
+        assert len(a & b) / len(a | b) == 0.8
+        assert similarity(labelled_kmers(t), labelled_kmers(longer)) == similarity(labelled_kmers(longer), labelled_kmers(t)) == 0.8
+        assert similarity(labelled_kmers(t), labelled_kmers(f"v {longer}")) == 0.0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100)]
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
