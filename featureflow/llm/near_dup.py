@@ -1,13 +1,17 @@
 """Near-duplicate classes by Order MinHash with banded alignment.
 
-A text is the sequence of its five-word k-mers, each labelled with its occurrence (the third
-"a b c d e" is another item than the first). A sketch takes the ``TAKEN`` k-mers with the
-smallest hash and keeps them in text order, so texts share it when they share these k-mers
-and their order. ``SKETCHES`` of them with different hashes make the bands of the candidate
-search. Candidates are verified by an alignment of the two k-mer sequences inside the band
-of diagonals that the threshold allows: with ``m`` k-mers aligned in order, of ``a`` and ``b``,
-the similarity is m / (a + b - m), and a link needs ``SIMILARITY`` (0.8) or more. As labelled
-k-mers are unique in a text, the best alignment is the longest increasing run of matches.
+A text is the sequence of its five-word k-mers. For the candidate search each is labelled with
+its occurrence (the third "a b c d e" is another item than the first). A sketch takes the
+``TAKEN`` labelled k-mers with the smallest hash and keeps them in text order, so texts share it
+when they share these k-mers and their order. ``SKETCHES`` of them with different hashes make the
+bands of the candidate search. Where a k-mer is repeated, an edit of an early occurrence moves the
+later labels, and their order says nothing; a pair with such a text meets by the same k-mers
+without order, in bands of their own that are kept only where a text with repeats is among them.
+Candidates are verified by an alignment of the two k-mer sequences, without labels, inside the
+band of diagonals that the threshold allows: with ``m`` k-mers aligned in order, of ``a`` and
+``b``, the similarity is m / (a + b - m), and a link needs ``SIMILARITY`` (0.8) or more. Labelled
+k-mers that two texts share are as many as k-mers that any alignment could pair, so filters over
+sets of them lose no pair.
 
 Equal texts are one node. A band's bucket is not expanded into pairs:
 its members are compared with one leader, band group after band group, and only where a bucket
@@ -49,8 +53,8 @@ AGREE = 2
 #: lies 4.7 standard deviations below.
 BITS = 2048
 NEAR_BITS = (1850, 1779)
-#: Bands compared with leaders in one round.
-ROUNDS = (range(0, 4), range(4, SKETCHES))
+#: Bands compared with leaders in one round; those from SKETCHES on are without order.
+ROUNDS = (range(0, 4), range(4, 2 * SKETCHES))
 SEED = 11
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -83,8 +87,8 @@ def word_hashes(text: str) -> np.ndarray:
     return _mixed(np.add.reduceat(letters, first) + lengths.astype(np.uint64) * _ODD)
 
 
-def labelled_kmers(text: str | None) -> np.ndarray:
-    """One 64-bit item per k-mer, in text order, unique within the text."""
+def text_kmers(text: str | None) -> np.ndarray:
+    """One 64-bit item per k-mer, in text order."""
     with np.errstate(over="ignore"):
         words = word_hashes(text or "")
         if not len(words):
@@ -95,23 +99,42 @@ def labelled_kmers(text: str | None) -> np.ndarray:
         h = np.zeros(n, np.uint64)
         for j in range(KMER):
             h += words[j : j + n] * _STEPS[j]
-        h = _mixed(h)
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        same = s[1:] == s[:-1]
-        if same.any():
-            at = np.arange(n)
-            start = np.where(np.concatenate([[True], ~same]), at, 0)
-            h[order] = _mixed(s + (at - np.maximum.accumulate(start)).astype(np.uint64) * _ODD)
-        return h
+        return _mixed(h)
+
+
+def labelled(kmers: np.ndarray) -> np.ndarray:
+    """The k-mers with later occurrences renamed, unique within the text; first ones keep their value."""
+    n = len(kmers)
+    order = np.argsort(kmers, kind="stable")
+    s = kmers[order]
+    same = s[1:] == s[:-1]
+    if not same.any():
+        return kmers
+    at = np.arange(n)
+    start = np.where(np.concatenate([[True], ~same]), at, 0)
+    with np.errstate(over="ignore"):
+        later = _mixed(s + (at - np.maximum.accumulate(start)).astype(np.uint64) * _ODD)
+    out = np.empty(n, np.uint64)
+    out[order] = np.where(np.concatenate([[False], same]), later, s)
+    return out
+
+
+def labelled_kmers(text: str | None) -> np.ndarray:
+    """One 64-bit item per k-mer, in text order, unique within the text."""
+    return labelled(text_kmers(text))
 
 
 def sketches(kmers: np.ndarray) -> list[int]:
     """SKETCHES signed 64-bit keys, each of TAKEN k-mers in text order; fixed ones for no k-mers."""
+    return all_sketches(kmers)[:SKETCHES]
+
+
+def all_sketches(kmers: np.ndarray) -> list[int]:
+    """The keys of :func:`sketches`, then as many of the same k-mers without order."""
     n = len(kmers)
     if not n:
-        return _SEEDS.astype(np.int64).tolist()
-    out = np.zeros(SKETCHES, np.uint64)
+        return np.concatenate([_SEEDS, ~_SEEDS]).astype(np.int64).tolist()
+    out = np.zeros((2, SKETCHES), np.uint64)
     lanes = SKETCHES if n <= 20_000 else 1  # long texts are ranked one hash at a time
     with np.errstate(over="ignore"):
         for lo in range(0, SKETCHES, lanes):
@@ -120,11 +143,12 @@ def sketches(kmers: np.ndarray) -> list[int]:
             v *= _ODD
             at = np.argpartition(v, TAKEN - 1, axis=1)[:, :TAKEN] if n > TAKEN else np.tile(np.arange(n), (len(v), 1))
             at.sort(axis=1)
-            key = _SEEDS[lo : lo + lanes].copy()
-            for j in range(at.shape[1]):
-                key = _mixed(key * _STEPS[5] + kmers[at[:, j]])
-            out[lo : lo + lanes] = key
-    return out.astype(np.int64).tolist()
+            for row, seeds, taken in ((0, _SEEDS, kmers[at]), (1, ~_SEEDS, np.sort(kmers[at], axis=1))):
+                key = seeds[lo : lo + lanes].copy()
+                for j in range(at.shape[1]):
+                    key = _mixed(key * _STEPS[5] + taken[:, j])
+                out[row, lo : lo + lanes] = key
+    return out.ravel().astype(np.int64).tolist()
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
@@ -134,29 +158,71 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
         return 1.0
     if not na or not nb or min(na, nb) < least * max(na, nb):
         return 0.0
-    order = np.argsort(b)
-    held = b[order]
-    at = np.minimum(np.searchsorted(held, a), nb - 1)
-    hit = held[at] == a
-    i, j = np.flatnonzero(hit), order[at[hit]]
     # At the threshold both texts have (na + nb) (1 - least) / (1 + least) unaligned k-mers together.
     # Rounding must not narrow the band; where it widens it, the similarity still decides.
     width = int((na + nb) * (1 - least) / (1 + least) + 1e-6)
-    j = j[np.abs(i - j) <= width]
-    if len(j) < least * (na + nb - len(j)):
+    # Some best alignment pairs equal beginnings and equal ends.
+    short = min(na, nb)
+    differ = np.flatnonzero(a[:short] != b[:short])
+    head = int(differ[0]) if len(differ) else short
+    differ = np.flatnonzero(a[::-1][: short - head] != b[::-1][: short - head])
+    tail = int(differ[0]) if len(differ) else short - head
+    found, ids = np.unique(np.concatenate([a[head : na - tail], b[head : nb - tail]]), return_inverse=True)
+    x, y = ids[: na - tail - head], ids[na - tail - head :]
+    in_x, in_y = np.bincount(x, minlength=len(found)), np.bincount(y, minlength=len(found))
+    most = head + tail + int(np.minimum(in_x, in_y).sum())
+    if most < least * (na + nb - most):
         return 0.0
-    if len(j) > 1 and not (np.diff(j) > 0).all():
-        tails: list[int] = []
-        for x in j.tolist():
-            k = bisect_left(tails, x)
-            tails[k : k + 1] = [x]
-        aligned = len(tails)
-    else:
-        aligned = len(j)
+    i, j = np.flatnonzero(in_y[x] > 0), np.flatnonzero(in_x[y] > 0)
+    unique = in_x[x[i]].max(initial=0) <= 1 and in_y[y[j]].max(initial=0) <= 1
+    aligned = head + tail + (_increasing if unique else _banded)(x[i], i, y[j], j, width)
     found = aligned / (na + nb - aligned)
     return found if found >= least else 0.0
 
 
+def _increasing(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, width: int) -> int:
+    """Longest alignment of two orders (x at i, y at j) of the same unique items: an increasing run."""
+    at = j[np.argsort(y)][np.argsort(np.argsort(x))]
+    at = at[np.abs(i - at) <= width]
+    if (np.diff(at) > 0).all():
+        return len(at)
+    tails: list[int] = []
+    for p in at.tolist():
+        k = bisect_left(tails, p)
+        tails[k : k + 1] = [p]
+    return len(tails)
+
+
+def _banded(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, width: int) -> int:
+    """Longest common subsequence of x (at i) and y (at j) inside the band, bit-parallel.
+
+    Bit k of ``row`` is 0 where the length grows at x[k]; only the bits inside the band are held.
+    """
+    order = np.argsort(x, kind="stable")
+    starts = np.searchsorted(x[order], y).tolist()
+    ends = np.searchsorted(x[order], y, "right").tolist()
+    places = order.tolist()
+    first = np.searchsorted(i, j - width).tolist()
+    last = np.searchsorted(i, j + width, "right").tolist()
+    row = low = high = aligned = 0
+    for start, end, lo, hi in zip(starts, ends, first, last):
+        if hi > high:
+            row |= ((1 << (hi - high)) - 1) << (high - low)
+            high = hi
+        if lo > low:
+            aligned += lo - low - (row & ((1 << (lo - low)) - 1)).bit_count()
+            row >>= lo - low
+            low = lo
+        match = 0
+        for k in places[start:end]:
+            if lo <= k < hi:
+                match |= 1 << (k - lo)
+        match &= row
+        if match:
+            row = ((row + match) | (row ^ match)) & ((1 << (high - low)) - 1)
+    return aligned + high - low - row.bit_count()
+
+
 def node_of(text):
     """16 bytes that name a text."""
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
@@ -164,12 +230,16 @@ def node_of(text):
 
 def _sketched(batches):
     for pdf in batches:
-        sizes, keys = [], []
+        sizes, keys, repeats = [], [], []
         for t in pdf["text"]:
-            k = labelled_kmers(t if isinstance(t, str) else None)
+            own = text_kmers(t if isinstance(t, str) else None)
+            k = labelled(own)
             sizes.append(len(k))
-            keys.append(sketches(k))
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "node": pdf["node"], "n": np.array(sizes, np.int32), "keys": keys})
+            keys.append(all_sketches(k))
+            repeats.append(bool((k != own).any()))
+        yield pd.DataFrame(
+            {"doc_id": pdf["doc_id"].astype("Int64"), "node": pdf["node"], "n": np.array(sizes, np.int32), "keys": keys, "repeats": np.array(repeats, bool)}
+        )
 
 
 def _verified(batches):
@@ -183,7 +253,7 @@ def _verified(batches):
             if room > 4_000_000:
                 held.clear()
                 room = 0
-            held[node] = labelled_kmers(text)
+            held[node] = text_kmers(text)
             room += len(held[node])
         return held[node]
 
@@ -195,22 +265,24 @@ def _verified(batches):
 def near_classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept."""
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", node_of(F.col("text")).alias("node"))
-    rows = stored(picked.mapInPandas(_sketched, "doc_id long, node binary, n int, keys array<long>"), "omh")
-    nodes = stored(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "omh-nodes")
-    places = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
-    shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("key").alias("s_key"))
-    buckets = stored(places.join(shared, F.col("key") == F.col("s_key"), "left_semi"), "omh-buckets")
+    rows = stored(picked.mapInPandas(_sketched, "doc_id long, node binary, n int, keys array<long>, repeats boolean"), "omh")
+    nodes = stored(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("repeats").alias("repeats")), "omh-nodes")
+    places = nodes.select("node", "n", "repeats", F.posexplode("keys").alias("band", "key"))
+    shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max((F.col("band") < SKETCHES) | F.col("repeats")).alias("asked"))
+    shared = shared.where("size > 1 and asked").select(F.col("key").alias("s_key"))
+    buckets = stored(places.drop("repeats").join(shared, F.col("key") == F.col("s_key"), "left_semi"), "omh-buckets")
     asked = buckets.select(F.col("node").alias("w")).distinct()
-    known = stored(nodes.join(asked, F.col("node") == F.col("w"), "left_semi").select(F.col("node").alias("k_node"), "keys"), "omh-known")
+    known = stored(nodes.join(asked, F.col("node") == F.col("w"), "left_semi").select(F.col("node").alias("k_node"), "keys", "repeats"), "omh-known")
     # Copies are reduced to one text before the shuffle.
     texts = picked.groupBy(F.col("node").alias("t_node")).agg(F.first("text").alias("text"))
     texts = stored(texts.join(asked, F.col("t_node") == F.col("w"), "left_semi"), "omh-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among the pairs (a, b): sketches first, whole texts for what is left."""
-        pairs = pairs.join(known.withColumnRenamed("keys", "a_keys"), F.col("a") == F.col("k_node")).drop("k_node")
-        pairs = pairs.join(known.withColumnRenamed("keys", "b_keys"), F.col("b") == F.col("k_node")).drop("k_node")
-        pairs = pairs.where(_agree("a_keys", "b_keys") >= AGREE).select("a", "b")
+        for side in ("a", "b"):
+            own = known.select("k_node", F.col("keys").alias(f"{side}_keys"), F.col("repeats").alias(f"{side}_repeats"))
+            pairs = pairs.join(own, F.col(side) == F.col("k_node")).drop("k_node")
+        pairs = pairs.where(_agree("a_keys", "b_keys", F.col("a_repeats") | F.col("b_repeats")) >= AGREE).select("a", "b")
         full = pairs.join(texts.withColumnRenamed("text", "a_text"), F.col("a") == F.col("t_node")).drop("t_node")
         full = full.join(texts.withColumnRenamed("text", "b_text"), F.col("b") == F.col("t_node")).drop("t_node")
         return stored(full.mapInPandas(_verified, "a binary, b binary"), "omh-links")
@@ -303,7 +375,7 @@ def _prefix_pairs(heads: DataFrame, bits: DataFrame, near: int) -> DataFrame:
     for i in range(BITS // 64):
         differ = differ + F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i]))
     first = F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.id")  # each pair once
-    meet = meet & (differ <= BITS - near) & (_agree("x.keys", "y.keys") >= AGREE) & first
+    meet = meet & (differ <= BITS - near) & (_agree("x.keys", "y.keys", F.col("x.repeats") | F.col("y.repeats")) >= AGREE) & first
     return x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
@@ -340,8 +412,11 @@ def _similar_size(a, b):
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
 
 
-def _agree(a: str, b: str):
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+def _agree(a: str, b: str, repeats):
+    """Sketches that two nodes share: with order, or without it where one of them repeats a k-mer."""
+    start = F.when(repeats, SKETCHES + 1).otherwise(1)
+    own = [F.slice(F.col(c), start, F.lit(SKETCHES)) for c in (a, b)]
+    return F.size(F.filter(F.zip_with(*own, lambda x, y: x == y), lambda same: same))
 
 
 def _joined(classes: DataFrame | None, links: DataFrame) -> DataFrame:

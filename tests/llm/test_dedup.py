@@ -144,6 +144,87 @@ def test_band_at_the_threshold():
         assert similarity(labelled_kmers(t), labelled_kmers(f"v {longer}")) == 0.0
 
 
+def overlap(x, y):
+    """Similarity of two texts by the textbook table, over word tuples."""
+    a, b = ([tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] for w in (x.split(), y.split()))
+    row = [0] * (len(b) + 1)
+    for p in a:
+        new = [0]
+        for k, q in enumerate(b):
+            new.append(row[k] + 1 if p == q else max(row[k + 1], new[k]))
+        row = new
+    return row[-1] / (len(a) + len(b) - row[-1])
+
+
+def with_repeats(r, copies=12, line=10, part=20):
+    """Repeats of a line between unique parts."""
+    shared = text(r, line)
+    return " ".join(f"{text(r, part)} {shared}" for _ in range(copies))
+
+
+def dropped(t, start, n):
+    words = t.split()
+    return " ".join(words[:start] + words[start + n :])
+
+
+def repeated_pairs(r):
+    """Pairs with an early repeat edited, dropped or added, near the threshold and far above it."""
+    for copies in (2, 3, 12):
+        for line, part in ((10, 20), (20, 6), (40, 40)):
+            t = with_repeats(r, copies, line, part)
+            words = t.split()
+            yield t, " ".join(words[: part + 4] + ["other"] + words[part + 5 :])
+            yield t, dropped(t, part, line)
+            yield t, " ".join(words[: part + line] + words[part : part + line] + words[part + line :])
+            yield t, edited(r, t, copies)
+            yield t, edited(r, dropped(t, part, line), copies // 3)
+    for n in (40, 90):
+        few = " ".join(r.choice("ab") for _ in range(n))
+        yield few, edited(r, few, 1)
+        yield few, dropped(few, n // 3, 3)
+
+
+def test_similarity_of_texts_with_repeated_lines():
+    r = random.Random(12)
+    t = with_repeats(r)
+    words = t.split()
+    other = " ".join(words[:24] + ["other"] + words[25:])
+    assert similarity(near_dup.text_kmers(t), near_dup.text_kmers(other)) == overlap(t, other) > 0.97
+    above = 0
+    for x, y in repeated_pairs(r):
+        expected = overlap(x, y)
+        above += expected >= 0.8
+        assert similarity(near_dup.text_kmers(x), near_dup.text_kmers(y)) == (expected if expected >= 0.8 else 0.0)
+        assert similarity(near_dup.text_kmers(y), near_dup.text_kmers(x)) == (expected if expected >= 0.8 else 0.0)
+    assert above > 20
+
+
+def test_first_occurrences_keep_their_label():
+    once = text(random.Random(3), 30)
+    assert set(labelled_kmers(once).tolist()) < set(labelled_kmers(f"{once} {once}").tolist())
+
+
+def overlap_classes(texts):
+    """Classes by the table, of texts without equals; pairs without a common k-mer are not looked at."""
+    part = list(range(len(texts)))
+    grams = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    for a in range(len(texts)):
+        for b in range(a):
+            if part[a] != part[b] and not grams[a].isdisjoint(grams[b]) and overlap(texts[a], texts[b]) >= 0.8:
+                part = [part[b] if p == part[a] else p for p in part]
+    groups = defaultdict(list)
+    for i, p in enumerate(part):
+        groups[p].append(i)
+    return {i: (min(g), len(g)) for g in groups.values() for i in g}
+
+
+def test_near_classes_of_texts_with_repeated_lines(make_docs):
+    texts = list(dict.fromkeys(t for pair in repeated_pairs(random.Random(21)) for t in pair))
+    expected = overlap_classes(texts)
+    assert sum(size > 1 for _, size in expected.values()) > 30
+    assert got_classes(near_classes(make_docs(list(enumerate(texts))))) == expected
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100)]
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
