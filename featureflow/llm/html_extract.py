@@ -1,8 +1,10 @@
 """Main text of web pages with site template removal.
 
 A page is parsed into a tree. Every element's subtree gets a 64-bit hash of its tags, classes
-and text; Spark counts, with partial aggregation, on how many pages of a host each hash
-occurs. Subtrees that recur on many pages of their host are template and are deleted. What is
+and text, in articles as elsewhere and at any length; Spark counts, with partial aggregation,
+around how many different main texts of a host each hash occurs. Subtrees that recur around many
+of them are template and are deleted; a page of which nothing would be left is a copy of content
+and stays whole. An inline element counts only where no text stands beside it. What is
 boilerplate by its element (navigation, footers, forms, scripts ...) goes as well, and the
 article's blocks are joined.
 
@@ -13,7 +15,7 @@ all pages of a host.
 
 Defined cases: null or empty html gives the empty text; html cut off inside a tag loses the
 open tag only; unclosed elements are closed as browsers do; a null url is a host of its own,
-the empty one; repeated pages count as pages; pages with equal ids share their marks; an empty
+the empty one; pages with equal main texts count once; pages with equal ids share their marks; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -30,12 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: A subtree is template if it occurs on this many pages of its host at least ...
+#: A subtree is template if it occurs around this many different main texts of its host at least ...
 LEAST_PAGES = 3
-#: ... and on this share of them.
+#: ... and around this share of them, or on large hosts around so many.
 LEAST_SHARE = 0.3
-#: Subtrees with more text than this are content even where pages repeat (copies of an article).
-MOST_TEMPLATE_CHARS = 400
+MANY_PAGES = 10
 
 # Elements of the HTML standard by their role.
 RAW_ELEMENTS = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes")
@@ -54,8 +55,8 @@ DROPPED_NAMES = frozenset(
     "social sponsor sponsored subscribe toolbar widget".split()
 )
 DROPPED_ROLES = frozenset("banner navigation contentinfo complementary search form alert dialog menu menubar".split())
-#: Prose inside an article stays even if it recurs: copies of an article on one host are content.
-PROSE_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th tr b i em strong span a q cite code u s sub sup small figcaption br".split())
+#: Part of a sentence where text stands beside them.
+INLINE_ELEMENTS = frozenset("b i em strong span a q cite code u s sub sup small".split())
 CLOSES_P = BLOCK_ELEMENTS - {"html", "body", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "dd", "dt"}
 CLOSES_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("ul ol dl table td th select div section article body html".split())
@@ -184,9 +185,9 @@ def pieces(root: Node) -> list[tuple[str | None, tuple[int, ...]]]:
     articles = _tops(root, "article") or _tops(root, "main")
     out: list[tuple[str | None, tuple[int, ...]]] = []
     for top in articles or [root]:
-        work: list = [(top, ())]
+        work: list = [(top, (), False)]
         while work:
-            node, marks = work.pop()
+            node, marks, beside = work.pop()
             if node is None:
                 out.append((None, ()))
             elif isinstance(node, str):
@@ -196,19 +197,20 @@ def pieces(root: Node) -> list[tuple[str | None, tuple[int, ...]]]:
             elif node is not top and (boilerplate(node) or (node.tag == "header" and not articles)):
                 continue
             else:
-                if node is not top and removable(node) and not (articles and node.tag in PROSE_ELEMENTS):
+                if node is not top and removable(node) and not (beside and node.tag in INLINE_ELEMENTS):
                     marks = (*marks, signed(node.hash))
                 if node.tag in BLOCK_ELEMENTS:
                     out.append((None, ()))
-                    work.append((None, ()))
-                work.extend((c, marks) for c in reversed(node.children))
+                    work.append((None, (), False))
+                beside = any(isinstance(c, str) and not c.isspace() for c in node.children)
+                work.extend((c, marks, beside) for c in reversed(node.children))
         out.append((None, ()))
     return out
 
 
 def removable(node: Node) -> bool:
-    """Whether an element may be template: short, not empty, and no container of the content."""
-    return bool(node.children) and node.chars <= MOST_TEMPLATE_CHARS and node.tag not in ("html", "body", "article", "main", "head")
+    """Whether an element may be template: not empty, and no container of the content."""
+    return bool(node.children) and node.tag not in ("html", "body", "article", "main", "head")
 
 
 def assembled(parts: Iterable[tuple[str | None, Iterable[int]]], template: frozenset[int] = frozenset()) -> str:
@@ -252,30 +254,19 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     picked = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
 
-    def subtrees(batches):
-        for pdf in batches:
-            ids, hosts, hashes = [], [], []
-            for i, host, source in zip(pdf["page_id"].astype("Int64"), pdf["host"], pdf["html"]):
-                if isinstance(source, str) and source:
-                    nodes = hashed(parse(source))
-                    # An unrepeatable or void element cannot be template; articles and their containers never go whole.
-                    own = {signed(x.hash) for x in nodes if x.children and x.chars <= MOST_TEMPLATE_CHARS and x.tag not in ("html", "body", "article", "main", "head")}
-                    ids += [i] * len(own)
-                    hosts += [host] * len(own)
-                    hashes += own
-            yield pd.DataFrame({"page_id": pd.array(ids, dtype="Int64"), "host": pd.array(hosts, dtype="int64"), "hash": pd.array(hashes, dtype="int64")})
-
     hosted = picked.select("page_id", "url", F.xxhash64(host_of(F.col("url"))).alias("host"), "html")
-    parsed = hosted.mapInPandas(_parsed, f"page_id long, url string, host long, text string, marks array<long>, parts {_PARTS}")
+    parsed = hosted.mapInPandas(_parsed, f"page_id long, url string, host long, text string, core long, marks array<long>, parts {_PARTS}")
     parsed = stored(parsed, "parsed-pages")
     marked = parsed.where(F.size("marks") > 0)
-    trees = marked.select("page_id", "host", F.explode("marks").alias("hash"))
-    sizes = parsed.groupBy(F.col("host").alias("s_host")).agg(F.count(F.lit(1)).alias("host_pages"))
-    counts = trees.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
-    recurring = counts.join(sizes, F.col("host") == F.col("s_host")).where(F.col("n") >= LEAST_SHARE * F.col("host_pages"))
+    trees = marked.select("page_id", "host", "core", F.explode("marks").alias("hash"))
+    # Pages with equal main texts are copies of content; they count once.
+    sizes = parsed.select("host", "core").distinct().groupBy(F.col("host").alias("s_host")).agg(F.count(F.lit(1)).alias("host_texts"))
+    counts = trees.select("host", "hash", "core").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
+    recurring = counts.join(sizes, F.col("host") == F.col("s_host")).where((F.col("n") >= LEAST_SHARE * F.col("host_texts")) | (F.col("n") >= MANY_PAGES))
     recurring = recurring.select(F.col("host").alias("r_host"), F.col("hash").alias("r_hash"))
     found = trees.join(recurring, (F.col("host") == F.col("r_host")) & (F.col("hash") == F.col("r_hash")))
     found = found.groupBy(F.col("page_id").alias("m_page")).agg(F.collect_set("hash").alias("template"))  # one page's subtrees
+    found = stored(found, "page-templates")  # its size is known then, and decides how texts are joined
     marked = marked.join(found, F.col("page_id").eqNullSafe(F.col("m_page")), "left").select("page_id", "url", "parts", "template")
     done = parsed.where(F.size("marks") == 0).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
     return done.unionByName(marked.mapInPandas(_cleaned, "page_id long, url string, text string, n_chars long"))
@@ -290,8 +281,10 @@ def _parsed(batches):
         for source in pdf["html"]:
             parts = pieces(_with_hashes(source)) if isinstance(source, str) and source else []
             marks = sorted({m for _, own in parts for m in own})
-            rows.append((None, marks, [{"t": t, "m": list(m)} for t, m in parts]) if marks else (assembled(parts), [], []))
-        out = pd.DataFrame(rows, columns=["text", "marks", "parts"])
+            text = assembled(parts)
+            core = signed(xxhash.xxh64_intdigest(text.encode("utf-8", "replace")))
+            rows.append((None, core, marks, [{"t": t, "m": list(m)} for t, m in parts]) if marks else (text, core, [], []))
+        out = pd.DataFrame(rows, columns=["text", "core", "marks", "parts"])
         out.insert(0, "page_id", pdf["page_id"].astype("Int64").array)
         out.insert(1, "url", pdf["url"].array)
         out.insert(2, "host", pdf["host"].array)
@@ -303,7 +296,8 @@ def _cleaned(batches):
         out = []
         for parts, template in zip(pdf["parts"], pdf["template"]):
             gone = frozenset(int(x) for x in template) if template is not None else frozenset()
-            out.append(assembled(((p["t"], p["m"] if p["m"] is not None else ()) for p in parts), gone))
+            parts = [(p["t"], p["m"] if p["m"] is not None else ()) for p in parts]
+            out.append(assembled(parts, gone) or assembled(parts))
         yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": pd.array(out, dtype=object), "n_chars": [len(t) for t in out]})
 
 

@@ -90,6 +90,23 @@ def test_site_templates_are_removed(spark):
     assert extract_text(pages.where("false")).count() == 0
 
 
+def test_templates_inside_articles_are_removed(spark):
+    long = "Terms of the house. " * 40
+    page = "<article><h1>Title {0}</h1><p>Read our letter</p><p>Body {0} with <b>bold</b> and <a href='/x'>linked</a> words</p><ul><li>Buy now</li></ul><span>Sale</span><div>{1}</div></article>"
+    rows = [(i, f"http://one.org/{i}", page.format(i, long)) for i in range(6)]
+    rows += [(10, "http://two.org/", page.format(10, "long"))]
+    rows += [(20 + i, "http://copies.org/", "<article><h1>Same</h1><p>Copied content</p></article>") for i in range(12)]
+    rows += [(40 + i, "http://large.org/", f"<article><p>Only {i}</p>{'<p>Seen on a few</p>' if i < 12 else ''}{'<p>Seen twice</p>' if i in (3, 30) else ''}</article>") for i in range(60)]
+    rows += [(200 + i, "http://mixed.org/", f"<article><p>Notice</p>{f'<p>Own {i}</p>' if i else ''}</article>") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_text(pages).collect()}
+    assert all(got[i] == f"Title {i}\nBody {i} with bold and linked words" for i in range(6))
+    assert got[10] == "Title 10\nRead our letter\nBody 10 with bold and linked words\nBuy now\nSale\nlong"
+    assert all(got[20 + i] == "Same\nCopied content" for i in range(12))
+    assert all(got[40 + i] == f"Only {i}" + ("\nSeen twice" if i in (3, 30) else "") for i in range(60))
+    assert [got[200 + i] for i in range(5)] == ["Notice", "Own 1", "Own 2", "Own 3", "Own 4"]
+
+
 # Mixing
 
 
