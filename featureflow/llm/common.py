@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: ASCII white space of the contracts: blank and tab to carriage return.
@@ -22,10 +24,13 @@ _LEFT: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, notebooks) a temporary folder is chosen and set.
+    Only where that is unset and executors are threads of the driver (a local master, as in
+    tests) a temporary folder is chosen and set; on a cluster its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="featureflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -95,12 +100,45 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def located(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``docs``, as a plain scan, and two columns that name each of its rows: file and position.
+
+    The names hold however often the scan is read again and whatever columns it reads. A frame
+    that is no plain scan is stored first.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        docs = stored(docs, "located")
+    where = docs.metadataColumn("_metadata")
+    return docs, [F.xxhash64(where["file_path"]), where["row_index"]]
+
+
+def own_columns(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, told from others of their names."""
+    return [docs["`" + c.replace("`", "``") + "`"] for c in docs.columns]
+
+
 def crc_mod4(doc_id: Column | str) -> Column:
     """crc32(doc_id as text) mod 4; rows with 2 are held out of all training (null id: 0)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.pmod(F.crc32(c.cast("string")), F.lit(4)), F.lit(0))
 
 
+def lowest_hashes(rows: DataFrame, kind: str, most: int, tie: str) -> DataFrame:
+    """The ``most`` rows of each ``kind`` with the smallest 64-bit hash ``h`` (ties: by ``tie``).
+
+    Rows are counted per kind first (one row per kind on the driver). Of n rows, all but those
+    below the hash that about ``most`` + 8 sqrt(``most``) + 32 of n are below are left out where
+    they are read, so that what is ranked together does not grow with the input.
+    """
+    sizes = {r[kind]: r["n"] for r in rows.groupBy(kind).agg(F.count(F.lit(1)).alias("n")).collect()}
+    below = F.lit(False)
+    for value, n in sizes.items():
+        share = min(1.0, (most + 8 * most**0.5 + 32) / n)
+        below = below | ((F.col(kind) == F.lit(value)) & (F.col("h") <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))))
+    rank = F.row_number().over(W.partitionBy(kind).orderBy("h", tie))
+    return rows.where(below).withColumn("n", rank).where(F.col("n") <= most).drop("n")
+
+
 def word_count(text: Column | str) -> Column:
     """Number of runs of non-space characters, 0 for null."""
     c = F.col(text) if isinstance(text, str) else text
