@@ -2,30 +2,33 @@
 
 History is grouped once by SHA-256 of the white-space-normalised text. Its distinct digests
 are dealt over shards; each shard gets a minimal perfect hash (levels of collision-free bit
-arrays) whose slots hold the full digest, the winner's doc_id and the number of copies. New
-rows, pre-aggregated by digest, look their slot up and compare all 32 bytes: equal bytes make
-them repeats of the slot's winner, the others are grouped separately.
+arrays) whose slots hold the full digest, the winner's locator (doc_id and place in the input)
+and the number of copies. New rows, pre-aggregated by digest, look their slot up and compare all
+32 bytes: equal bytes make them repeats of the slot's winner, the others are grouped separately.
 
 Defined cases: a null text counts as empty, and all empty texts are equal; null doc_ids lose
-against any other (a group of null ids only has a null keep_id and stays); rows repeated with
-the same doc_id count in group_size, and share the value of ``kept``; an empty table gives an
-empty result; other columns are ignored, whatever their names.
+against any other (a group of null ids only has a null keep_id); rows repeated with one doc_id
+count in group_size, and the first by place is the one that stays, so every group keeps exactly
+one row; rows of one doc_id with different texts belong to their texts' groups; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored
+from .common import SPACE, discard, stored
 
 #: Digests per shard: bounds what one task of the build or lookup holds.
 SHARD_KEYS = 4096
 GAMMA = 2.0
-_INDEX = "shard int, sizes array<long>, bits binary, digests binary, winners binary, copies binary, nulls binary"
-_GROUPS = "digest binary, keep_id long, group_size long, repeat boolean"
+#: The winner's locator, in the order of preference: whether it has no doc_id, doc_id, file and position.
+LOCATOR = ("w_none", "w_id", "w_file", "w_pos")
+_INDEX = "shard int, sizes array<long>, bits binary, digests binary, winners binary, copies binary"
+_GROUPS = f"digest binary, {', '.join(f'{c} long' for c in LOCATOR)}, group_size long, repeat boolean"
 
 
 def digest_of(text):
@@ -80,23 +83,21 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     digests = [bytes(d) for d in pdf["digest"]]
     sizes, bits = build_levels(digests)
     order = np.argsort(slots_of(digests, sizes, bits))
-    ids = pdf["keep_id"]
     return pd.DataFrame(
         {
             "shard": [int(pdf["shard"].iloc[0])],
             "sizes": [sizes],
             "bits": [np.packbits(bits).tobytes()],
             "digests": [b"".join(digests[i] for i in order)],
-            "winners": [ids.fillna(0).to_numpy(np.int64)[order].tobytes()],
+            "winners": [pdf[[*LOCATOR]].to_numpy(np.int64)[order].tobytes()],
             "copies": [pdf["group_size"].to_numpy(np.int64)[order].tobytes()],
-            "nulls": [ids.isna().to_numpy(np.uint8)[order].tobytes()],
         }
     )
 
 
 def _lookup(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     digests = [bytes(d) for d in new["digest"]]
-    ids, copies = new["keep_id"].astype("Int64"), new["group_size"].to_numpy(np.int64)
+    places, copies = new[[*LOCATOR]].to_numpy(np.int64), new["group_size"].to_numpy(np.int64)
     if len(index):
         row = index.iloc[0]
         sizes = [int(s) for s in row["sizes"]]
@@ -104,21 +105,20 @@ def _lookup(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         slots = slots_of(digests, sizes, bits)
         held = row["digests"]
         total = np.frombuffer(row["copies"], np.int64).copy()
-        nulls = np.frombuffer(row["nulls"], np.uint8) == 1
-        keep = pd.array(np.frombuffer(row["winners"], np.int64).copy(), dtype="Int64")
-        keep[nulls] = pd.NA
+        keep = np.frombuffer(row["winners"], np.int64).reshape(-1, len(LOCATOR)).copy()
     else:
-        slots, held, total, keep = np.full(len(digests), -1), b"", np.empty(0, np.int64), pd.array([], dtype="Int64")
+        slots, held, total, keep = np.full(len(digests), -1), b"", np.empty(0, np.int64), np.empty((0, len(LOCATOR)), np.int64)
     member = np.array([s >= 0 and held[32 * s : 32 * s + 32] == d for s, d in zip(slots, digests)], dtype=bool)
     found = slots[member]
     total[found] += copies[member]  # one row per new digest, so no slot occurs twice
-    rival = pd.array(ids[member], dtype="Int64")
-    best = pd.Series(keep[found]).combine(pd.Series(rival), lambda x, y: y if x is pd.NA else x if y is pd.NA else min(x, y))
-    keep[found] = pd.array(best, dtype="Int64")
+    for slot, rival in zip(found.tolist(), places[member]):
+        if tuple(rival) < tuple(keep[slot]):
+            keep[slot] = rival
+    places = np.concatenate([keep, places[~member]])
     return pd.DataFrame(
         {
             "digest": [held[32 * i : 32 * i + 32] for i in range(len(total))] + [d for d, m in zip(digests, member) if not m],
-            "keep_id": pd.concat([pd.Series(keep, dtype="Int64"), ids[~member]], ignore_index=True),
+            **{c: places[:, k] for k, c in enumerate(LOCATOR)},
             "group_size": np.concatenate([total, copies[~member]]),
             "repeat": np.concatenate([np.isin(np.arange(len(total)), found), np.zeros((~member).sum(), bool)]),
         }
@@ -126,17 +126,19 @@ def _lookup(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    place = F.struct(F.col("doc_id").isNull().cast("long").alias("w_none"), F.coalesce("doc_id", F.lit(0)).alias("w_id"), "w_file", "w_pos")
+    groups = rows.groupBy("digest").agg(F.min(place).alias("w"), F.count(F.lit(1)).alias("group_size"))
+    return groups.select("digest", "w.*", "group_size")
 
 
 def build_index(groups: DataFrame, shards: int) -> DataFrame:
-    """Sharded minimal perfect hash over ``groups`` (digest, keep_id, group_size)."""
+    """Sharded minimal perfect hash over ``groups`` (digest, locator, group_size)."""
     dealt = groups.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInPandas(_build, _INDEX)
 
 
 def lookup(groups: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """History and new digests together: digest, keep_id, group_size, repeat.
+    """History and new digests together: digest, locator, group_size, repeat.
 
     ``repeat`` marks historical digests that the new rows repeat; digests that the slots do
     not hold come out as groups of their own.
@@ -145,25 +147,31 @@ def lookup(groups: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_lookup, _GROUPS)
 
 
-def exact_dedup(docs: DataFrame, is_history=None) -> DataFrame:
+def exact_dedup(docs: DataFrame, is_history=None, names: list[Column] | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     ``is_history`` is a condition on doc_id that tells the rows indexed first from those that
     arrive later; by default a hash of doc_id splits the table in halves. It has no influence
-    on the result, which is exact for any split.
+    on the result, which is exact for any split. ``names`` are two bigint columns that name a
+    row; they come out as w_file and w_pos. Without them rows are numbered as they are read.
     """
     if is_history is None:
         is_history = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"))
-    rows = stored(rows.withColumn("old", F.coalesce(is_history, F.lit(True))), "digests")
+    file, place = names or (F.lit(0), F.monotonically_increasing_id())
+    old = F.coalesce(is_history, F.lit(True)).alias("old")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"), old, file.cast("long").alias("w_file"), place.alias("w_pos"))
+    rows = stored(rows, "digests")
     shards = max(1, -(-rows.count() // SHARD_KEYS))
     index = stored(build_index(_grouped(rows.where("old")), shards), "mph-index")
-    groups = lookup(_grouped(rows.where("not old")), index, shards)
-    joined = rows.join(groups.withColumnRenamed("digest", "group_digest"), F.col("digest") == F.col("group_digest"), "left")
+    groups = stored(lookup(_grouped(rows.where("not old")), index, shards), "mph-groups")
+    discard(index)
+    groups = groups.select(F.col("digest").alias("g_digest"), F.when(F.col("w_none") == 0, F.col("w_id")).alias("keep_id"), "group_size", F.col("w_file").alias("g_file"), F.col("w_pos").alias("g_pos"))
+    joined = rows.join(groups, F.col("digest") == F.col("g_digest"), "left")
     return joined.select(
         "doc_id",
         "keep_id",
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        ((F.col("w_file") == F.col("g_file")) & (F.col("w_pos") == F.col("g_pos"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *(["w_file", "w_pos"] if names else []),
     )

@@ -28,8 +28,9 @@ The texts of nodes that share a bucket are gathered once; all rounds verify from
 
 Defined cases: null texts and texts without words are duplicates of one another; texts of fewer than
 five words have one k-mer, all their words; very long texts are read whole; class_id is the
-smallest doc_id of the class (null only if all are null); rows repeated with the same doc_id count in
-class_size and share ``kept``; an empty table gives an empty result; other columns are ignored.
+smallest doc_id of the class (null only if all are null); rows repeated with one doc_id count in
+class_size, and of several rows with the class's doc_id the first by place is ``kept``, so every class
+keeps exactly one row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, stored
@@ -238,7 +239,7 @@ def _sketched(batches):
             keys.append(all_sketches(k))
             repeats.append(bool((k != own).any()))
         yield pd.DataFrame(
-            {"doc_id": pdf["doc_id"].astype("Int64"), "node": pdf["node"], "n": np.array(sizes, np.int32), "keys": keys, "repeats": np.array(repeats, bool)}
+            {"doc_id": pdf["doc_id"].astype("Int64"), "w_file": pdf["w_file"], "w_pos": pdf["w_pos"], "node": pdf["node"], "n": np.array(sizes, np.int32), "keys": keys, "repeats": np.array(repeats, bool)}
         )
 
 
@@ -262,10 +263,16 @@ def _verified(batches):
         yield pdf.loc[np.array(linked, bool), ["a", "b"]]
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, kept."""
+def near_classes(docs: DataFrame, names: list[Column] | None = None) -> DataFrame:
+    """One row per document: doc_id, class_id, class_size, kept.
+
+    ``names`` are two bigint columns that name a row; they come out as w_file and w_pos. Without
+    them rows are numbered as they are read.
+    """
+    file, place = names or (F.lit(0), F.monotonically_increasing_id())
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", node_of(F.col("text")).alias("node"))
-    rows = stored(picked.mapInPandas(_sketched, "doc_id long, node binary, n int, keys array<long>, repeats boolean"), "omh")
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), file.cast("long").alias("w_file"), place.alias("w_pos"), "text", node_of(F.col("text")).alias("node"))
+    rows = stored(numbered.mapInPandas(_sketched, "doc_id long, w_file long, w_pos long, node binary, n int, keys array<long>, repeats boolean"), "omh")
     nodes = stored(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("repeats").alias("repeats")), "omh-nodes")
     places = nodes.select("node", "n", "repeats", F.posexplode("keys").alias("band", "key"))
     shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max((F.col("band") < SKETCHES) | F.col("repeats")).alias("asked"))
@@ -327,11 +334,14 @@ def near_classes(docs: DataFrame) -> DataFrame:
         compared(_prefix_pairs(heads, bits, near))
         discard(heads)
     discard(nodes, buckets, known, texts, left, items, prefixes, bits, *candidates)
-    out = rows.select("doc_id", F.col("node").alias("o_node")).join(classes, F.col("o_node") == F.col("c_node"), "left")
-    out = out.select("doc_id", F.coalesce("comp", "o_node").alias("part"))
-    sizes = out.groupBy("part").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).withColumnRenamed("part", "s_part")
+    own = ["doc_id", "w_file", "w_pos"]
+    out = rows.select(*own, F.col("node").alias("o_node")).join(classes, F.col("o_node") == F.col("c_node"), "left")
+    out = out.select(*own, F.coalesce("comp", "o_node").alias("part"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *own)).alias("w")
+    sizes = out.groupBy(F.col("part").alias("s_part")).agg(first, F.count(F.lit(1)).alias("class_size"))
     out = out.join(sizes, F.col("part") == F.col("s_part"))
-    return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    kept = (F.col("w_file") == F.col("w.w_file")) & (F.col("w_pos") == F.col("w.w_pos"))
+    return out.select("doc_id", F.col("w.doc_id").alias("class_id"), "class_size", kept.alias("kept"), *(own[1:] if names else []))
 
 
 def _placed(rows: DataFrame, classes: DataFrame | None) -> DataFrame:

@@ -46,6 +46,10 @@ def test_exact_edge_cases(make_docs):
         got = exact_dedup(make_docs(rows), history(F) if history else None).collect()
         assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=str) == brute_exact(rows)
     assert exact_dedup(make_docs([])).count() == 0
+    again = exact_dedup(make_docs([(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, "c"), (2, "a")])).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in again) == [
+        ("1", "1", 1, True), ("1", "1", 3, False), ("1", "1", 3, True), ("2", "1", 3, False), ("None", "None", 2, False), ("None", "None", 2, True)
+    ]
 
 
 WORDS = [f"w{i}" for i in range(4000)]
@@ -120,7 +124,7 @@ def test_near_edge_cases(make_docs):
     assert got[7] == got[8] == (7, 2) and got[12] == got[13] == (12, 2) and got[9] == (9, 1) and got[10] != got[11]
     assert near_classes(make_docs([])).count() == 0
     null_ids = near_classes(make_docs([(None, "q w e r t y"), (None, "q w e r t y"), (3, "z")])).collect()
-    assert sorted((str(r.class_id), r.class_size, r.kept) for r in null_ids) == [("3", 1, True), ("None", 2, True), ("None", 2, True)]
+    assert sorted((str(r.class_id), r.class_size, r.kept) for r in null_ids) == [("3", 1, True), ("None", 2, False), ("None", 2, True)]  # one row stays
 
 
 def test_similarity_is_an_ordered_overlap():
