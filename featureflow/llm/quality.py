@@ -1,17 +1,16 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text's UTF-8 bytes are read in overlapping chunks that cover the whole document. Learned
-filters of ``WIDTH`` bytes, over learned byte vectors, slide over each chunk at ``STRIDE``
-bytes; a chunk also says how often a byte equals the one some places before it, the mark of
-repeated words. Every channel is max-pooled over all chunks, and a logistic layer combines the
-pooled values into the probability of label 1.
+filters of ``WIDTH`` bytes, over learned byte vectors, slide over each chunk byte by byte; the
+chunks share WIDTH - 1 bytes, so that no window is missed. A second bank of learned filters reads
+products: how alike, by learned byte vectors of their own, a byte and the one k places on are, for
+k up to ``LAGS``, averaged over spans of ``SPAN`` bytes; the filters weigh the k. Every filter is
+max-pooled over all chunks, and a logistic layer combines the pooled values into the probability
+of label 1. Nothing but the bytes is an input, and every weight is learned.
 
 Trained on the driver by Adam on at most ``ROWS_PER_LABEL`` labelled rows of each label that
-are not held out, chosen by a hash of doc_id, less those of more than ``TRAINING_CHARS``
-characters; the gradient of a max only touches the window
-that won. Training and scoring use seeded numbers only, so reruns agree.
-
-Neighbouring chunks share WIDTH - STRIDE bytes, so that no window is missed.
+are not held out, those with the smallest hashes of doc_id, whole texts; the gradient of a max
+only touches the window that won. Training and scoring use seeded numbers only, so reruns agree.
 
 Defined cases: null and empty texts are one window of zero bytes, and texts shorter than a
 filter are padded with them; very long texts are scored whole, a
@@ -25,18 +24,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_mod4
+from .common import crc_mod4, lowest_hashes
 
 ROWS_PER_LABEL = 1000
-#: Longer texts are scored whole like all others, but are not sent to the driver to learn from.
-TRAINING_CHARS = 200_000
-EMBED, FILTERS, WIDTH, STRIDE = 6, 16, 12, 4
-CHUNK = 1024
-LAGS = range(2, 18)
-EPOCHS, BATCH, RATE = 16, 16, 0.02
+EMBED, FILTERS, WIDTH = 6, 32, 8
+PAIR_EMBED, PAIRS, LAGS, SPAN, HOP = 8, 8, 24, 64, 16
+CHUNK = 2048
+EPOCHS, BATCH, RATE = 8, 16, 0.02
 THRESHOLD = 0.7
 SEED = 20240229
 
@@ -47,45 +43,63 @@ class Net:
         self.p = {
             "embed": r.normal(0, 0.5, (256, EMBED)).astype(np.float32),
             "filter": r.normal(0, (WIDTH * EMBED) ** -0.5, (WIDTH * EMBED, FILTERS)).astype(np.float32),
-            "shift": np.zeros(FILTERS, np.float32),
-            "out": np.zeros(FILTERS + 1, np.float32),
+            "pair_embed": r.normal(0, PAIR_EMBED**-0.5, (256, PAIR_EMBED)).astype(np.float32),
+            "pair_filter": r.normal(0, LAGS**-0.5, (LAGS, PAIRS)).astype(np.float32),
+            "shift": np.zeros(FILTERS + PAIRS, np.float32),
+            "out": r.normal(0, 0.3, FILTERS + PAIRS).astype(np.float32),
             "bias": np.zeros(1, np.float32),
         }
         self.constant: float | None = None
 
-    def pooled(self, raw: np.ndarray):
-        """Max over all windows of each filter, the windows that won, and the repeat channel."""
-        n = max(1, -(-(max(len(raw), WIDTH) - WIDTH) // STRIDE) + 1)
-        best = np.full(FILTERS, -np.inf, np.float32)
-        won = np.zeros(FILTERS, np.int64)
-        repeat = 0.0
-        step = CHUNK // STRIDE
-        for first in range(0, n, step):
-            count = min(step, n - first)
-            lo = first * STRIDE
-            piece = raw[lo : lo + (count - 1) * STRIDE + WIDTH]
-            need = (count - 1) * STRIDE + WIDTH
-            if len(piece) < need:
-                piece = np.concatenate([piece, np.zeros(need - len(piece), np.uint8)])
-            vectors = self.p["embed"][piece]
-            windows = np.lib.stride_tricks.as_strided(vectors, (count, WIDTH * EMBED), (STRIDE * EMBED * 4, 4))
-            value = windows @ self.p["filter"]
-            at = value.argmax(axis=0)
-            top = value[at, np.arange(FILTERS)]
-            better = top > best
-            best[better], won[better] = top[better], first + at[better]
-            if len(piece) > 64:
-                repeat = max(repeat, max(np.count_nonzero(piece[k:] == piece[:-k]) / (len(piece) - k) for k in LAGS))
-        return best + self.p["shift"], won, repeat
+    def windows(self, raw: np.ndarray):
+        """(first window, values [window, filter]) of each chunk of ``raw``, WIDTH bytes at least."""
+        for first in range(0, len(raw) - WIDTH + 1, CHUNK):
+            count = min(CHUNK, len(raw) - WIDTH + 1 - first)
+            own = self.p["embed"][raw[first : first + count + WIDTH - 1]]
+            yield first, np.lib.stride_tricks.as_strided(own, (count, WIDTH * EMBED), (EMBED * 4, 4)) @ self.p["filter"]
+
+    def spans(self, raw: np.ndarray):
+        """(first span, values [span, pair filter]) of each chunk; spans begin every HOP bytes."""
+        alike = (self.p["pair_embed"] @ self.p["pair_embed"].T).ravel()
+        total = max(1, -(-(len(raw) - SPAN) // HOP) + 1)
+        for first in range(0, total, CHUNK):
+            count = min(CHUNK, total - first)
+            own = raw[first * HOP : (first + count - 1) * HOP + SPAN + LAGS].astype(np.int32)
+            sums = np.zeros((LAGS, (count - 1) + SPAN // HOP), np.float32)
+            for k in range(1, LAGS + 1):
+                pairs = alike[own[:-k] * 256 + own[k:]][: sums.shape[1] * HOP]
+                whole = len(pairs) // HOP
+                sums[k - 1, :whole] = pairs[: whole * HOP].reshape(-1, HOP).sum(axis=1)
+                if whole < sums.shape[1]:
+                    sums[k - 1, whole] = pairs[whole * HOP :].sum()
+            near = sum(sums[:, j : j + count] for j in range(SPAN // HOP)) / SPAN
+            yield first, near.T @ self.p["pair_filter"]
+
+    def pooled(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Max of each filter over all windows or spans, and the window or span that won."""
+        raw = padded(raw)
+        best = np.full(FILTERS + PAIRS, -np.inf, np.float32)
+        won = np.zeros(FILTERS + PAIRS, np.int64)
+        for part, found in ((slice(0, FILTERS), self.windows(raw)), (slice(FILTERS, None), self.spans(raw))):
+            for first, value in found:
+                at = value.argmax(axis=0)
+                top = value[at, np.arange(value.shape[1])]
+                better = top > best[part]
+                best[part][better], won[part][better] = top[better], first + at[better]
+        return best + self.p["shift"], won
 
     def score(self, raw: np.ndarray) -> float:
         if self.constant is not None:
             return self.constant
-        z = self.logit(*self.pooled(raw)[::2])
-        return float(1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))))
+        return float(_sigmoid(np.maximum(self.pooled(raw)[0], 0) @ self.p["out"] + self.p["bias"][0]))
+
+
+def _sigmoid(z):
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
+
 
-    def logit(self, best: np.ndarray, repeat: float) -> float:
-        return float(np.maximum(best, 0) @ self.p["out"][:FILTERS] + 4 * repeat * self.p["out"][FILTERS] + self.p["bias"][0])
+def padded(raw: np.ndarray) -> np.ndarray:
+    return raw if len(raw) >= WIDTH else np.concatenate([raw, np.zeros(WIDTH - len(raw), np.uint8)])
 
 
 def raw_bytes(text: str | None) -> np.ndarray:
@@ -99,11 +113,10 @@ def train(rows: list[tuple[str, int]], seed: int = SEED, epochs: int = EPOCHS) -
     if len(labels) < 2:
         net.constant = float(labels.pop()) if labels else 0.5
         return net
-    data = [(raw_bytes(t), y) for t, y in rows]
-    share = sum(y for _, y in data) / len(data)
-    weight = {1: 0.5 / share, 0: 0.5 / (1 - share)}
+    data = [padded(raw_bytes(t)) for t, _ in rows]
+    y = np.array([y for _, y in rows], np.float32)
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     r = np.random.default_rng(seed)
-    net.p["out"] = r.normal(0, 0.3, FILTERS + 1).astype(np.float32)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     step = 0
@@ -111,9 +124,8 @@ def train(rows: list[tuple[str, int]], seed: int = SEED, epochs: int = EPOCHS) -
         order = r.permutation(len(data))
         rate = RATE * (1 - epoch / epochs)
         for a in range(0, len(order), BATCH):
-            grad = {k: np.zeros_like(x) for k, x in net.p.items()}
-            for i in order[a : a + BATCH]:
-                _add_gradient(net, grad, *data[i], weight)
+            own = order[a : a + BATCH]
+            grad = _gradient(net, [data[i] for i in own], y[own], weight[own])
             step += 1
             for k, x in net.p.items():
                 g = grad[k] / BATCH + 1e-4 * x
@@ -123,29 +135,44 @@ def train(rows: list[tuple[str, int]], seed: int = SEED, epochs: int = EPOCHS) -
     return net
 
 
-def _add_gradient(net: Net, grad: dict, raw: np.ndarray, y: int, weight: dict) -> None:
-    best, won, repeat = net.pooled(raw)
-    z = net.logit(best, repeat)
-    d = (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - y) * weight[y]
-    grad["out"][:FILTERS] += d * np.maximum(best, 0)
-    grad["out"][FILTERS] += d * 4 * repeat
-    grad["bias"] += d
-    back = d * net.p["out"][:FILTERS] * (best > 0)
-    grad["shift"] += back
-    at = won[:, None] * STRIDE + np.arange(WIDTH)
-    window = np.where(at < len(raw), raw[np.minimum(at, max(len(raw) - 1, 0))] if len(raw) else 0, 0)
-    vectors = net.p["embed"][window].reshape(FILTERS, -1)
-    grad["filter"] += (vectors * back[:, None]).T
-    np.add.at(grad["embed"], window, (net.p["filter"].T * back[:, None]).reshape(FILTERS, WIDTH, EMBED))
+def _gradient(net: Net, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> dict:
+    """Summed gradients of the weighted logistic loss over a batch."""
+    found = [net.pooled(t) for t in texts]
+    best, won = np.stack([b for b, _ in found]), np.stack([w for _, w in found])
+    active = np.maximum(best, 0)
+    d = (_sigmoid(active @ net.p["out"] + net.p["bias"][0]) - y) * weight
+    back = d[:, None] * net.p["out"] * (best > 0)
+    grad = {"shift": back.sum(axis=0), "out": active.T @ d, "bias": np.array([d.sum()], np.float32)}
+    # Windows that won: [text, filter, place] bytes and their vectors.
+    inside = np.stack([t[w[:FILTERS, None] + np.arange(WIDTH)] for t, w in zip(texts, won)])
+    vectors = net.p["embed"][inside].reshape(len(texts), FILTERS, WIDTH * EMBED)
+    grad["filter"] = np.einsum("tfw,tf->wf", vectors, back[:, :FILTERS])
+    grad["embed"] = np.zeros_like(net.p["embed"])
+    np.add.at(grad["embed"], inside, back[:, :FILTERS, None, None] * net.p["filter"].T.reshape(FILTERS, WIDTH, EMBED))
+    # Spans that won: bytes beyond the end of a text have no vector.
+    at = won[:, FILTERS:, None] * HOP + np.arange(SPAN + LAGS)
+    ends = np.array([len(t) for t in texts])[:, None, None]
+    inside = np.stack([t[np.minimum(p, len(t) - 1)] for t, p in zip(texts, at)])
+    vectors = net.p["pair_embed"][inside] * (at < ends)[..., None]
+    slope = np.zeros_like(vectors)
+    grad["pair_filter"] = np.zeros_like(net.p["pair_filter"])
+    for k in range(1, LAGS + 1):
+        a, b = vectors[:, :, :SPAN], vectors[:, :, k : k + SPAN]
+        grad["pair_filter"][k - 1] = ((a * b).sum(axis=(2, 3)) / SPAN * back[:, FILTERS:]).sum(axis=0)
+        g = (back[:, FILTERS:] * net.p["pair_filter"][k - 1] / SPAN)[..., None, None]
+        slope[:, :, :SPAN] += g * b
+        slope[:, :, k : k + SPAN] += g * a
+    grad["pair_embed"] = np.zeros_like(net.p["pair_embed"])
+    np.add.at(grad["pair_embed"], inside, slope * (at < ends)[..., None])
+    return grad
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = ROWS_PER_LABEL) -> list[tuple[str, int]]:
     """At most ``per_label`` rows of each label, not held out, in order of a hash of doc_id."""
     known = labels.where(F.col("quality").isin(0, 1) & (crc_mod4("doc_id") != 2))
     known = known.select(F.col("doc_id").cast("long").alias("l_id"), F.col("quality").cast("int").alias("y"), F.xxhash64("doc_id").alias("h")).distinct()
-    best = W.partitionBy("y").orderBy("h", "l_id")
-    known = known.withColumn("n", F.row_number().over(best)).where(F.col("n") <= per_label).select("l_id", "y", "h")
-    texts = docs.select(F.col("doc_id").cast("long").alias("t_id"), "text").where(F.coalesce(F.length("text"), F.lit(0)) <= TRAINING_CHARS)
+    known = lowest_hashes(known, "y", per_label, "l_id").select("l_id", "y", "h")
+    texts = docs.select(F.col("doc_id").cast("long").alias("t_id"), "text")
     # The ids are at most 2 * per_label rows, so their broadcast is bounded.
     found = texts.join(F.broadcast(known), F.col("t_id") == F.col("l_id")).orderBy("h", "l_id", "y", "text")
     return [(r["text"] or "", r["y"]) for r in found.select("h", "l_id", "y", "text").collect()]
