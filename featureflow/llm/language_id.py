@@ -1,17 +1,17 @@
 """Language ID by segmentation-marginalised unigrams.
 
-A fixed public vocabulary gives the pieces. For each language, piece probabilities are fitted
-by expectation maximisation over all segmentations of the training words (forward and backward
-sums). A text's likelihood is the product over its words of the forward sum, that is, of the
+A fixed public vocabulary gives the pieces, all of them that letters can spell. For each
+language, piece probabilities are fitted by expectation maximisation over all segmentations of
+the training words (forward and backward sums). A text's likelihood is the product over its words of the forward sum, that is, of the
 total probability of all ways to cut the word into pieces; the language with the largest one,
 times its share of the training rows, wins.
 
 Words are lower-cased runs of letters with a mark before them; other characters tell nothing
 about the language. A worker remembers scores of words it has met (``REMEMBERED`` at most).
 
-Trained on at most ``ROWS_PER_LANGUAGE`` labelled rows of each language, chosen by a hash of
-doc_id among the rows that are not held out and have ``TRAINING_CHARS`` characters at most.
-Defined cases: null texts and texts without a
+Trained on at most ``ROWS_PER_LANGUAGE`` labelled rows of each language, those with the smallest
+hashes of doc_id among the rows that are not held out; their whole texts are counted into words
+where they are read, and the driver gets the words. Defined cases: null texts and texts without a
 letter are ``und`` with score 0; ties go to the first language in code-point order; texts and
 words of any length are scored whole; null languages teach nothing; without any training row
 every text is ``und``; repeated rows are scored alike; an empty table gives an empty result;
@@ -21,25 +21,20 @@ other columns are ignored.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters, vocabulary_path
-from .common import by_bytes, crc_mod4
+from .common import by_bytes, crc_mod4, lowest_hashes
 
 VOCABULARY = "byte_bpe_50k.json"
 ROWS_PER_LANGUAGE = 150
-#: Longer texts are predicted whole like all others, but are not sent to the driver to learn from.
-TRAINING_CHARS = 200_000
-#: Characters of a training text are bounded as well, over all rows of a language.
-CHARS_PER_LANGUAGE = 400_000
-LONGEST_PIECE = 8
 ROUNDS = 2
 REMEMBERED = 250_000
 BLOCK = 1 << 21
@@ -48,6 +43,7 @@ FLOOR = 1e-7
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = regex.compile(r"\p{L}+")
 MARK = b" "
+SPELT = regex.compile(rb" ?[a-z\x80-\xff]*")
 
 
 class Pieces:
@@ -58,8 +54,10 @@ class Pieces:
             vocab = json.load(f)["model"]["vocab"]
         letters = byte_letters()
         found = {bytes(letters[c] for c in p).lower() for p in vocab}
-        found = {p for p in found if len(p) <= LONGEST_PIECE} | {bytes([b]) for b in range(256)}
+        # Others hold a byte that no word has, so no segmentation uses them.
+        found = {p for p in found if SPELT.fullmatch(p)} | {bytes([b]) for b in range(256)}
         self.pieces = sorted(found)
+        self.longest = max(map(len, found))
         hashes = np.array([self.hash_of(p) for p in self.pieces], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], order
@@ -102,11 +100,11 @@ class Pieces:
         while start < len(order):
             n = int(lengths[order[start]])
             stop = int(np.searchsorted(lengths[order], n, side="right"))
-            lanes = max(1, min(LANES, (1 << 20) // max(1, n)))
+            lanes = max(1, min(LANES, (1 << 18) // max(1, n)))
             for a in range(start, stop, lanes):
                 chosen = order[a : min(stop, a + lanes)]
                 raw = np.frombuffer(b"".join([words[i] for i in chosen]), np.uint8).reshape(len(chosen), n).astype(np.uint64)
-                most = min(LONGEST_PIECE, n)
+                most = min(self.longest, n)
                 ids = np.full((len(chosen), n, most), -1, np.int32)
                 h = np.zeros((len(chosen), n), np.uint64)
                 with np.errstate(over="ignore"):
@@ -124,49 +122,62 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _cells(ids: np.ndarray) -> list[list[int]]:
+    """Of each start, the lengths (less 1) that are a piece in some word."""
+    return [np.flatnonzero(row).tolist() for row in (ids >= 0).any(axis=0)]
+
+
+def _sums(ids: np.ndarray, logs: np.ndarray, steps: list[list[int]]) -> np.ndarray:
+    """Log of the summed probability of all ways to reach each position: [position, word, language].
+
+    ``steps`` has the lengths (less 1) that end at each position, ``logs`` the log probabilities.
+    """
+    words, n, _ = ids.shape
+    out = np.full((n + 1, words, logs.shape[1]), -np.inf)
+    out[0] = 0.0
+    for end in range(1, n + 1):
+        for k in steps[end]:
+            np.logaddexp(out[end], out[end - k - 1] + logs[ids[:, end - k - 1, k]], out=out[end])
+    return out
+
+
+def _ends(cells: list[list[int]]) -> list[list[int]]:
+    out: list[list[int]] = [[] for _ in range(len(cells) + 1)]
+    for start, lengths in enumerate(cells):
+        for k in lengths:
+            out[start + k + 1].append(k)
+    return out
+
+
+def _logs(prob: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(prob)
+
+
 def forward(ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """Log of the summed probability of all segmentations: [word, language].
 
-    ``prob`` is [piece, language]; its last row, for id -1, is 0. Sums are scaled at every
-    position, so words of any length keep their precision.
+    ``prob`` is [piece, language]; its last row, for id -1, is 0. Sums are held as logarithms,
+    so words of any length keep their precision.
     """
-    words, n, most = ids.shape
-    langs = prob.shape[1]
-    alpha = np.zeros((n + 1, words, langs))
-    alpha[0] = 1.0
-    logs = np.zeros((words, langs))
-    for end in range(1, n + 1):
-        total = np.zeros((words, langs))
-        for k in range(min(most, end)):
-            total += alpha[end - k - 1] * prob[ids[:, end - k - 1, k]]
-        if end % 8 == 0 or end == n:
-            scale = np.maximum(total, 1e-300)
-            logs += np.log(scale)
-            total = total / scale
-            low = max(0, end - most)
-            alpha[low:end] /= scale
-        alpha[end] = total
-    return logs
+    return _sums(ids, _logs(prob), _ends(_cells(ids)))[-1]
 
 
 def expected(ids: np.ndarray, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected piece counts of one language: prob [piece + 1], weight [word]."""
-    words, n, most = ids.shape
-    alpha, beta = np.zeros((n + 1, words)), np.zeros((n + 1, words))
-    alpha[0] = beta[n] = 1.0
-    p = prob[ids]
-    for end in range(1, n + 1):
-        for k in range(min(most, end)):
-            alpha[end] += alpha[end - k - 1] * p[:, end - k - 1, k]
-    for at in range(n - 1, -1, -1):
-        for k in range(min(most, n - at)):
-            beta[at] += beta[at + k + 1] * p[:, at, k]
+    _, n, most = ids.shape
+    logs, cells = _logs(prob), _cells(ids)
+    ahead = _sums(ids, logs[:, None], _ends(cells))[:, :, 0]
+    # The same sums from the end: the piece at ``start`` of length k + 1 starts at n - start - k - 1 there.
+    turned = np.full_like(ids, -1)
+    for k in range(most):
+        turned[:, : n - k, k] = ids[:, : n - k, k][:, ::-1]
+    behind = _sums(turned, logs[:, None], _ends(_cells(turned)))[::-1, :, 0]
     counts = np.zeros(len(prob))
-    whole = np.maximum(alpha[n], 1e-300)
     for at in range(n):
-        for k in range(min(most, n - at)):
-            share = alpha[at] * p[:, at, k] * beta[at + k + 1] / whole * weight
-            counts += np.bincount(np.where(ids[:, at, k] < 0, len(prob) - 1, ids[:, at, k]), share, minlength=len(prob))
+        for k in cells[at]:
+            own = ids[:, at, k]
+            np.add.at(counts, own, np.exp(ahead[at] + logs[own] + behind[at + k + 1] - ahead[n]) * weight)
     counts[-1] = 0
     return counts
 
@@ -231,22 +242,21 @@ class Scorer:
 
 def fit(rows: list[tuple[str, str]], path: str | None = None) -> Model:
     """Model of (lang, text) rows."""
+    counts: dict[str, Counter] = {}
+    for lang, text in rows:
+        counts.setdefault(lang, Counter()).update(words_of(text))
+    return fit_words(counts, Counter(lang for lang, _ in rows), path)
+
+
+def fit_words(counts: dict[str, dict[str, int]], rows: dict[str, int], path: str | None = None) -> Model:
+    """Model of the words of each language, and the number of rows they are from."""
     found = pieces(path or vocabulary_path(VOCABULARY))
-    langs = sorted({lang for lang, _ in rows})
-    probs, prior = [], []
+    langs = sorted(rows)
+    probs = []
     for lang in langs:
-        counts: dict[str, int] = {}
-        held = 0
-        for _, text in (r for r in rows if r[0] == lang):
-            if held > CHARS_PER_LANGUAGE:
-                break
-            held += len(text)
-            for w in words_of(text):
-                if len(w) <= 40:  # longer ones are no words to learn from
-                    counts[w] = counts.get(w, 0) + 1
-        prior.append(sum(r[0] == lang for r in rows))
-        names = list(counts)
-        weights = np.array([counts[w] for w in names], float)
+        own = counts.get(lang, {})
+        names = sorted(own)
+        weights = np.array([own[w] for w in names], float)
         lattices = list(found.lattices([as_bytes(w) for w in names]))
         prob = np.zeros(len(found.pieces) + 1)
         for chosen, ids in lattices:  # start from all pieces that occur, longer ones preferred
@@ -261,8 +271,8 @@ def fit(rows: list[tuple[str, str]], path: str | None = None) -> Model:
                 total += expected(ids, prob, weights[chosen])
             prob = _normal(total)
         probs.append(prob)
-    share = np.log(np.array(prior, float) / sum(prior)) if langs else np.zeros(0)
-    return Model(langs, share, np.stack(probs, axis=1) if langs else np.zeros((len(found.pieces) + 1, 0)), path)
+    share = np.array([rows[lang] for lang in langs], float)
+    return Model(langs, np.log(share / share.sum()) if langs else share, np.stack(probs, axis=1) if langs else np.zeros((len(found.pieces) + 1, 0)), path)
 
 
 def _normal(counts: np.ndarray) -> np.ndarray:
@@ -271,20 +281,32 @@ def _normal(counts: np.ndarray) -> np.ndarray:
     return out / out.sum()
 
 
-def training_rows(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most ``per_language`` rows of each language, not held out, in order of a hash."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod4("doc_id") != 2) & (F.length("text") <= TRAINING_CHARS))
-    picked = known.select(F.col("lang").alias("l"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("doc_id").alias("h"), "text")
-    best = W.partitionBy("l").orderBy("h", "i")
-    # The rank filter runs before the shuffle as well, so a hot language sends few rows.
-    picked = picked.withColumn("n", F.row_number().over(best)).where(F.col("n") <= per_language)
-    return [(r["l"], r["text"]) for r in picked.select("l", "i", "h", "text").orderBy("l", "h", "i").collect()]
+def training_words(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> tuple[dict[str, dict[str, int]], dict[str, int]]:
+    """Words of at most ``per_language`` rows of each language, not held out, and the number of these rows."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod4("doc_id") != 2))
+    known = known.select(F.col("lang").alias("l"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("doc_id").alias("h"), "text")
+    # Ids are ranked alone; per_language of each language meet the texts, a bounded broadcast.
+    picked = lowest_hashes(known.select("l", "i", "h"), "l", per_language, "i").distinct()
+    asked = picked.select(F.col("l").alias("p_l"), F.col("i").alias("p_i"))
+    texts = known.join(F.broadcast(asked), (F.col("l") == F.col("p_l")) & F.col("i").eqNullSafe(F.col("p_i"))).select("l", "text")
+
+    def counted(batches):
+        for pdf in batches:
+            for lang, text in zip(pdf["l"], pdf["text"]):
+                own = Counter(words_of(text))
+                yield pd.DataFrame({"l": lang, "w": pd.Series(list(own), dtype=object), "n": pd.Series(list(own.values()), dtype="int64")})
+
+    rows = {r["l"]: r["n"] for r in picked.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts: dict[str, dict[str, int]] = {lang: {} for lang in rows}
+    for r in texts.mapInPandas(counted, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n")).collect():
+        counts[r["l"]][r["w"]] = r["n"]
+    return counts, rows
 
 
 def identify(docs: DataFrame, model: Model | None = None, path: str | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     if model is None:
-        model = fit(training_rows(docs), path)
+        model = fit_words(*training_words(docs), path)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary x languages, bounded
 
     def run(batches):

@@ -56,3 +56,21 @@ def test_stages_on_odd_tables(spark, make_docs):
     kept = corpus_pipeline.exact_dedup_stage(spark, make_docs(rows), SMALL)
     assert sorted((str(r.doc_id), r.text) for r in kept.select("doc_id", "text").collect()) == [("1", "same text of five words"), ("3", None), ("None", "no id at all")]
     assert kept.where(F.col("size") != "mine").count() == 0
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark, make_docs):
+    rows = [(None, "first text"), (None, "second different text"), (1, "alpha beta"), (1, "gamma delta"), (2, "solo"), (1, "alpha  beta"), (None, "first text"), (7, "one two three four five six")]
+    docs = make_docs(rows)
+    for name in ("w_file", "w_pos", "times", "name_0", "_metadata", "row_index", "file_path", "a.b", "taken", "kept"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    distinct = sorted({(str(i), " ".join(t.split())) for i, t in rows})
+    runs = []
+    for table in (docs, docs.repartition(5)):
+        for name, stage in corpus_pipeline.STAGES[1:3]:
+            table = stored(stage(spark, table, SMALL), name)
+            assert table.columns == docs.columns
+            assert sorted((str(r.doc_id), " ".join(r.text.split())) for r in table.collect()) == distinct
+        mixed = stored(corpus_pipeline.STAGES[3][1](spark, table, SMALL), "mixing")
+        assert mixed.columns == docs.columns and {(str(r.doc_id), " ".join(r.text.split())) for r in mixed.collect()} <= set(distinct)
+        runs.append(Counter((r.doc_id, r.text.replace("  ", " ")) for r in mixed.collect()))
+    assert max(runs[0].values()) <= 2

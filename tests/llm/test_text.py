@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -5,9 +6,10 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from featureflow.llm import quality
 from featureflow.llm.bpe import ByteBPE, bpe_encode, vocabulary_path
-from featureflow.llm.language_id import Model, Pieces, fit, forward, identify
-from featureflow.llm.quality import Net, keep_good, raw_bytes, score_quality, train
+from featureflow.llm.language_id import Model, Pieces, expected, fit, forward, identify, training_words
+from featureflow.llm.quality import keep_good, raw_bytes, score_quality, train
 
 AWKWARD = [None, "", " ", "aaaa aaaaaaa", "<|endoftext|>", "x<|endoftext|> y<|endoftext|", "it's We'LL 12 345\n\n  z ", "日本語 Ԝ é́ 🙂🙂", "\x00\x1f\x85 ", "q" * 20_000, "ab " * 9000, "!?" * 50]
 
@@ -60,6 +62,48 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(forward(ids, prob)).all()
 
 
+def test_expected_counts_over_all_segmentations():
+    pieces = Pieces(vocabulary_path())
+    prob = np.append(np.random.default_rng(1).random(len(pieces.pieces)), 0.0) / 1e3
+    at = {p: i for i, p in enumerate(pieces.pieces)}
+
+    def cuts(word):
+        if not word:
+            yield []
+        for k in range(1, len(word) + 1):
+            if word[:k] in at:
+                yield from ([at[word[:k]], *rest] for rest in cuts(word[k:]))
+
+    for word in (b" mention", b" government", b"thething"):
+        want, whole = np.zeros(len(prob)), 0.0
+        for cut in cuts(word):
+            p = np.prod(prob[cut])
+            whole += p
+            np.add.at(want, cut, p)
+        ((_, ids),) = pieces.lattices([word])
+        np.testing.assert_allclose(expected(ids, prob, np.array([2.0])), 2 * want / whole, atol=1e-12)
+    assert {b" government", b" different", b" information"} <= set(at)
+    ((_, ids),) = pieces.lattices([b" " + b"ab" * 4000])  # every byte is in one piece
+    assert abs(expected(ids, prob, np.array([1.0]))[:-1] @ [len(p) for p in pieces.pieces] - 8001) < 0.01
+
+
+def test_training_rows_are_bounded_and_whole(make_docs):
+    spelt = lambda i: "".join("abcdefghij"[int(d)] for d in str(i))
+    rows = [(i, f"{spelt(i)} " * 3, "s", "en" if i % 3 else "de") for i in range(900)] + [(5000, "x" * 50_000 + " y", "s", "fr"), (5000, "x" * 50_000 + " y", "s", "fr")]
+    counts, sizes = training_words(make_docs(rows), 100)
+    assert sizes["en"] == sizes["de"] == 100 and set(counts["en"].values()) == {3} and len(counts["en"]) == 100
+    assert zlib.crc32(b"5000") % 4 != 2 and sizes["fr"] == 1 and counts["fr"] == {"x" * 50_000: 2, "y": 2}  # a repeated row counts again
+
+
+def test_language_ties_go_to_the_first(make_docs):
+    rows = [(i, "same words here", "s", ("b", "a")[i % 2]) for i in range(40)] + [(99, "same", "s", None)]
+    train_rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2 and r[3]]
+    even = min(sum(r[3] == x for r in train_rows) for x in "ab")
+    rows = [r for x in "ab" for r in [r for r in train_rows if r[3] == x][:even]] + rows[-1:]
+    got = {r.doc_id: r.lang_pred for r in identify(make_docs(rows)).collect()}
+    assert got[99] == "a"
+
+
 def test_language_accuracy_held_out(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     got = {r.doc_id: r for r in identify(docs).collect()}
@@ -102,13 +146,54 @@ def test_quality_edge_cases(spark, make_docs):
     assert kept.columns == docs.columns and kept.count() == 6
 
 
-def test_whole_document_is_pooled():
-    net = Net()
-    r = np.random.default_rng(1)
-    raw = r.integers(0, 256, 9001).astype(np.uint8)
-    best, won, _ = net.pooled(raw)
-    padded = np.concatenate([raw, np.zeros(16, np.uint8)])
-    windows = np.stack([net.p["embed"][padded[i : i + 12]].ravel() for i in range(0, 9001 - 12 + 4, 4)])
-    value = windows @ net.p["filter"]
-    np.testing.assert_allclose(best, value.max(axis=0) + net.p["shift"], rtol=1e-4)
-    assert won.max() < len(windows)
+def slow_score(net, text):
+    """The score written out window by window, span by span."""
+    raw = list((text or "").encode("utf-8", "replace"))
+    raw += [0] * (quality.WIDTH - len(raw))
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    tops = []
+    for f in range(quality.FILTERS):
+        weights = p["filter"][:, f].reshape(quality.WIDTH, quality.EMBED)
+        tops.append(max(sum(p["embed"][raw[i + j]] @ weights[j] for j in range(quality.WIDTH)) for i in range(len(raw) - quality.WIDTH + 1)))
+    starts = [0]
+    while starts[-1] + quality.SPAN < len(raw):
+        starts.append(starts[-1] + quality.HOP)
+    spans = []
+    for s in starts:
+        alike = [sum(p["pair_embed"][raw[i]] @ p["pair_embed"][raw[i + k]] for i in range(s, s + quality.SPAN) if i + k < len(raw)) for k in range(1, quality.LAGS + 1)]
+        spans.append(np.array(alike) / quality.SPAN @ p["pair_filter"])
+    top = np.concatenate([tops, np.max(spans, axis=0)]) + p["shift"]
+    return 1 / (1 + math.exp(-(np.maximum(top, 0) @ p["out"] + p["bias"][0])))
+
+
+def test_score_against_a_written_out_network(monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK", 16)  # many chunks
+    r = random.Random(1)
+    net = train([("clean words and more of them " * 5, 1), ("$$$ ### !!! $$$ ###" * 5, 0)] * 8, epochs=2)
+    for text in (None, "", "a", "short é", *("".join(r.choice("abcde fgß$") for _ in range(n)) for n in (7, 8, 9, 63, 64, 65, 79, 80, 81, 87, 88, 89, 300, 700))):
+        assert abs(net.score(raw_bytes(text)) - slow_score(net, text)) < 1e-4
+
+
+def test_gradient_against_differences():
+    r = np.random.default_rng(0)
+    net = quality.Net(1)
+    texts = [quality.padded(r.integers(0, 256, n).astype(np.uint8)) for n in (3, 50, 300, 900)]
+    y, weight = np.array([1, 0, 1, 0]), np.array([1, 2, 0.5, 1])
+
+    def loss():
+        p = [net.score(t) for t in texts]
+        return -sum(w * (a * math.log(q) + (1 - a) * math.log(1 - q)) for a, w, q in zip(y, weight, p))
+
+    grad = quality._gradient(net, texts, y, weight)
+    close = 0
+    for name, values in net.p.items():
+        flat, g = values.reshape(-1), grad[name].reshape(-1)
+        for i in np.argsort(-np.abs(g))[:3]:
+            old = flat[i]
+            found = []
+            for step in (3e-3, -3e-3):
+                flat[i] = old + step
+                found.append(loss())
+            flat[i] = old
+            close += abs((found[0] - found[1]) / 6e-3 - g[i]) < 0.02 * abs(g[i]) + 2e-3
+    assert close >= 18  # of 19; a maximum may change hands between the steps
