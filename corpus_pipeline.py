@@ -1,34 +1,32 @@
 """Corpus pipeline: quality, exact dedup, near dedup, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the
-columns of ``docs``; each works on all rows its predecessor kept. Rows are kept or dropped by
-doc_id; a document that the mix takes twice is there twice, and has its ids twice.
+columns of ``docs``; each works on all rows its predecessor kept. A row is named by its place in
+the stage's input, so decisions hold for rows, not for ids: rows that share a doc_id, or have
+none, are documents of their own. Of equal or near equal texts exactly one row stays; a document
+that the mix takes twice is there twice, and has its ids twice.
 
-Defined cases: rows with a null doc_id pass the stages as one document of the null id; columns
-beside those of ``documents`` are carried along; empty tables give empty results.
+Defined cases: null texts count as empty; columns beside those of ``documents`` are carried
+along, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from featureflow.llm.bpe import bpe_encode
-from featureflow.llm.common import read, ship, stored
+from featureflow.llm.common import located, read, ship, stored
 from featureflow.llm.exact_dedup import exact_dedup
 from featureflow.llm.mixing import mixed_documents
 from featureflow.llm.near_dup import near_classes
 from featureflow.llm.quality import keep_good
 
 
-def _keeping(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is among ``ids`` (column __keep), one row for each."""
-    ids = stored(ids, name)
-    # Merged at every size: ids grow with the documents, so a broadcast that happens to fit is no plan.
-    kept = docs.join(ids.distinct().hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    # Ids are looked at alone, so that texts are only dealt anew where a row is repeated.
-    unique = ids.groupBy("__keep").count().where("count > 1").isEmpty()
-    return kept if unique else kept.dropDuplicates(["doc_id"])
+def _keeping(docs: DataFrame, decided: DataFrame, names: list, name: str) -> DataFrame:
+    """Rows of ``docs`` that ``decided`` keeps, found by their names (w_file, w_pos)."""
+    kept = stored(decided.where("kept").select("w_file", "w_pos"), name)
+    # Merged at every size: names grow with the documents, so a broadcast that happens to fit is no plan.
+    return docs.join(kept.hint("merge"), (names[0] == kept["w_file"]) & (names[1] == kept["w_pos"]), "left_semi")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +38,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest doc_id stays."""
     ship(spark)
-    return _keeping(docs, exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__keep")), "exact-kept")
+    docs, names = located(docs)
+    return _keeping(docs, exact_dedup(docs, names=names), names, "exact-kept")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, the document with the smallest doc_id stays."""
     ship(spark)
-    return _keeping(docs, near_classes(docs).where("kept").select(F.col("doc_id").alias("__keep")), "near-kept")
+    docs, names = located(docs)
+    return _keeping(docs, near_classes(docs, names), names, "near-kept")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
