@@ -2,11 +2,13 @@
 
 A page is parsed into a tree. Every element's subtree gets a 64-bit hash of its tags, classes
 and text, in articles as elsewhere and at any length; Spark counts, with partial aggregation,
-around how many different main texts of a host each hash occurs. Subtrees that recur around many
-of them are template and are deleted; a page of which nothing would be left is a copy of content
-and stays whole. An inline element counts only where no text stands beside it. What is
-boilerplate by its element (navigation, footers, forms, scripts ...) goes as well, and the
-article's blocks are joined.
+around how many different main texts of a host each hash occurs. Subtrees that recur around
+``LEAST_PAGES`` of them and ``LEAST_SHARE`` of all are template and are deleted; a page of which
+nothing would be left is a copy of content and stays whole. A share is asked for at every size,
+since on a large host a line that some dozens of articles quote is content. An inline element counts
+only where no text stands beside it. What is boilerplate by its element, role or class
+(navigation, footers, forms, scripts ...) goes as well, and the article's blocks are joined. A
+``header`` inside an article holds its title and is read; one outside any article goes.
 
 A page is parsed once, into the pieces of its blocks; a piece carries the hashes of the subtrees
 around it that could be template. Pages without such hashes are done. For the others, hashes
@@ -14,9 +16,11 @@ that recur are sent back by (host, hash), a join that AQE splits for a hot host;
 all pages of a host.
 
 Defined cases: null or empty html gives the empty text; html cut off inside a tag loses the
-open tag only; unclosed elements are closed as browsers do; a null url is a host of its own,
-the empty one; pages with equal main texts count once; pages with equal ids share their marks; an empty
-table gives an empty result; other columns are ignored.
+open tag only; unclosed elements are closed as browsers do; quotes open a value only after an
+equals sign; a null url is a host of its own, the empty one; pages with equal main texts count
+once, so repeated rows and exact copies are no template; rows that share a page_id, or have none,
+are pages of their own; very long pages are parsed whole; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +37,9 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: A subtree is template if it occurs around this many different main texts of its host at least ...
-LEAST_PAGES = 3
-#: ... and around this share of them, or on large hosts around so many.
+LEAST_PAGES = 5
+#: ... and around this share of them.
 LEAST_SHARE = 0.3
-MANY_PAGES = 10
 
 # Elements of the HTML standard by their role.
 RAW_ELEMENTS = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes")
@@ -54,6 +57,8 @@ DROPPED_NAMES = frozenset(
     "header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related reply replies share sharing sidebar "
     "social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that say where or how such a part stands, and nothing about what it is.
+PLACE_NAMES = frozenset("area bar block bottom box container global left list main page right section site slot sub top wrapper".split())
 DROPPED_ROLES = frozenset("banner navigation contentinfo complementary search form alert dialog menu menubar".split())
 #: Part of a sentence where text stands beside them.
 INLINE_ELEMENTS = frozenset("b i em strong span a q cite code u s sub sup small".split())
@@ -62,10 +67,12 @@ CLOSES_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {
 SCOPES = frozenset("ul ol dl table td th select div section article body html".split())
 
 _TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|$))|<(?:!|\?|/(?=[^a-zA-Z]))[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(>|$)",
+    r"<!--(?:>|->|.*?(?:--!?>|$))|<(?:!|\?|/(?=[^a-zA-Z]))[^>]*(?:>|$)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$)|[^\s>]*+))?+|=)*+)(>|$)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_RAW_ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW_ELEMENTS}
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
 
 
@@ -82,7 +89,6 @@ def parse(source: str) -> Node:
     root = Node("#root")
     stack = [root]
     at, n = 0, len(source)
-    lowered = None
     while at < n:
         m = _TOKEN.search(source, at)
         text = source[at : m.start()] if m else source[at:]
@@ -112,12 +118,11 @@ def parse(source: str) -> Node:
         if tag in VOID_ELEMENTS:
             continue
         if tag in RAW_ELEMENTS:
-            lowered = source.lower() if lowered is None else lowered
-            end = lowered.find(f"</{tag}", at)
-            body = source[at:end] if end >= 0 else source[at:]
-            if body:
-                node.children.append(body)
-            close = source.find(">", end) if end >= 0 else -1
+            found = _RAW_ENDS[tag].search(source, at)
+            end = found.start() if found else n
+            if end > at:
+                node.children.append(source[at:end])
+            close = source.find(">", end)
             at = close + 1 if close >= 0 else n
             continue
         stack.append(node)
@@ -170,13 +175,19 @@ def boilerplate(node: Node) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
-        if name in ("class", "id") and not DROPPED_NAMES.isdisjoint(_NAME_PARTS.split(value)):
+        if name in ("class", "id") and any(map(_names_boilerplate, value.split())):
             return True
         if name == "role" and value in DROPPED_ROLES:
             return True
     return False
 
 
+def _names_boilerplate(name: str) -> bool:
+    """Whether a class or id names a part to drop: ``cookie-banner`` and ``site-footer``, but not ``photo-banner``."""
+    parts = [p for p in _NAME_PARTS.split(name) if p and p not in PLACE_NAMES]
+    return bool(parts) and DROPPED_NAMES.issuperset(parts)
+
+
 def pieces(root: Node) -> list[tuple[str | None, tuple[int, ...]]]:
     """(text, hashes of removable subtrees around it) in page order; None ends a block.
 
@@ -252,22 +263,20 @@ def host_of(url):
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    picked = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-
-    hosted = picked.select("page_id", "url", F.xxhash64(host_of(F.col("url"))).alias("host"), "html")
+    hosted = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64(host_of(F.col("url"))).alias("host"), "html")
     parsed = hosted.mapInPandas(_parsed, f"page_id long, url string, host long, text string, core long, marks array<long>, parts {_PARTS}")
-    parsed = stored(parsed, "parsed-pages")
+    parsed = stored(parsed.withColumn("row", F.monotonically_increasing_id()), "parsed-pages")
     marked = parsed.where(F.size("marks") > 0)
-    trees = marked.select("page_id", "host", "core", F.explode("marks").alias("hash"))
+    trees = marked.select("row", "host", "core", F.explode("marks").alias("hash"))
     # Pages with equal main texts are copies of content; they count once.
     sizes = parsed.select("host", "core").distinct().groupBy(F.col("host").alias("s_host")).agg(F.count(F.lit(1)).alias("host_texts"))
     counts = trees.select("host", "hash", "core").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
-    recurring = counts.join(sizes, F.col("host") == F.col("s_host")).where((F.col("n") >= LEAST_SHARE * F.col("host_texts")) | (F.col("n") >= MANY_PAGES))
+    recurring = counts.join(sizes, F.col("host") == F.col("s_host")).where(F.col("n") >= LEAST_SHARE * F.col("host_texts"))
     recurring = recurring.select(F.col("host").alias("r_host"), F.col("hash").alias("r_hash"))
     found = trees.join(recurring, (F.col("host") == F.col("r_host")) & (F.col("hash") == F.col("r_hash")))
-    found = found.groupBy(F.col("page_id").alias("m_page")).agg(F.collect_set("hash").alias("template"))  # one page's subtrees
+    found = found.groupBy(F.col("row").alias("m_row")).agg(F.collect_set("hash").alias("template"))  # one page's subtrees
     found = stored(found, "page-templates")  # its size is known then, and decides how texts are joined
-    marked = marked.join(found, F.col("page_id").eqNullSafe(F.col("m_page")), "left").select("page_id", "url", "parts", "template")
+    marked = marked.join(found, F.col("row") == F.col("m_row"), "left").select("page_id", "url", "parts", "template")
     done = parsed.where(F.size("marks") == 0).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
     return done.unionByName(marked.mapInPandas(_cleaned, "page_id long, url string, text string, n_chars long"))
 
