@@ -3,17 +3,21 @@
 Largest inner product is turned into nearness on a sphere by one more coordinate,
 sqrt(max norm^2 - norm^2), which is 0 for queries. A tree cuts the points at the median of a
 random projection, level by level, down to leaves of about ``LEAF_ROWS`` vectors. A query
-enters all trees at once: one priority queue, ordered by the worst margin on the way, hands out
-the most promising leaf of any tree until enough rows are seen. The leaves' vectors are
+enters all trees at once: one priority queue, ordered by the margins by which it lies on the other
+side of the cuts on the way, summed, hands out the most promising leaf of any tree until enough rows are seen. The leaves' vectors are
 then reranked exactly, in double precision.
 
 The cuts are fitted on at most ``SAMPLE`` distinct vectors (lowest hash first); every vector is
 indexed. The number of rows a query visits is a share of all, found on the same sample:
-the share at which ``RECALL`` of the sample's true neighbours are reached. Equal vectors are
-indexed once, with their k + 1 smallest ids (no query can return more of them).
+the share at which ``RECALL`` of the sample's true neighbours are reached. A table of up to
+``WHOLE`` distinct vectors is one leaf and searched whole. Equal vectors are indexed once, with
+their k + 1 smallest ids (no query can return more of them).
 
-Work is dealt by (tree, leaf, block of queries), so neither a leaf's queries nor a much repeated
-vector gather in one task.
+Each vector is stored once per tree. Queries are sent to the leaves they visit, and work is dealt
+by (leaf, part of its rows, block of its queries): a leaf of more than ``PART_ROWS`` rows is cut
+into parts, the visits of one with more than ``QUERY_BLOCK`` into blocks. A row is copied once for
+each block of its own leaf, a visit once for each part, so what is moved is the products that
+are computed over some thousands, and no group grows with the table.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or have
 another length than most vectors (ties: the longer), and rows with a null vec_id, take no part;
@@ -37,12 +41,13 @@ from .common import stored
 
 K = 20
 TREES = 8
-LEAF_ROWS = 1024
+LEAF_ROWS = 512
 SAMPLE = 8192
 SAMPLE_QUERIES = 128
-RECALL = 0.96
-#: Rows visited at least; smaller tables are searched whole.
-LEAST_VISITED = 8192
+RECALL = 0.95
+#: Distinct vectors of a table that is searched whole.
+WHOLE = 8192
+PART_ROWS = 4096
 QUERY_BLOCK = 4096
 SEED = 7
 
@@ -88,14 +93,14 @@ class Forest:
         point = np.append(q / np.sqrt(q @ q) * self.top, 0.0)
         margins = self.planes @ point - self.cuts
         first_leaf = 2**self.depth - 1
-        queue = [(-np.inf, t, 0) for t in range(len(self.planes))]
+        queue = [(0.0, t, 0) for t in range(len(self.planes))]
         seen = 0
         while queue and seen < most:
-            worst, t, n = heapq.heappop(queue)
+            off, t, n = heapq.heappop(queue)
             while n < first_leaf:
                 m = margins[t, n]
                 near, far = (2 * n + 2, 2 * n + 1) if m > 0 else (2 * n + 1, 2 * n + 2)
-                heapq.heappush(queue, (max(worst, abs(m)), t, far))
+                heapq.heappush(queue, (off + abs(m), t, far))
                 n = near
             leaf = n - first_leaf
             if counts[t, leaf]:
@@ -133,6 +138,25 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, float) for v in column]) if len(column) else np.zeros((0, 0))
 
 
+def distinct_points(rows: DataFrame, k: int) -> DataFrame:
+    """embedding and its k + 1 smallest ids."""
+    # The rank filter runs before the shuffle too: a repeated vector sends k + 1 ids per task.
+    least = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
+    ids = rows.distinct().withColumn("n", least).where(F.col("n") <= k + 1)
+    return ids.groupBy("embedding").agg(F.slice(F.sort_array(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
+
+
+def fitted(points: DataFrame, k: int = K, recall: float = RECALL) -> tuple[Forest, float]:
+    """The forest over ``points``, and the rows to visit, counted in all trees, over all rows."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    total, top = points.agg(F.count(F.lit(1)), F.max(norm)).first()
+    sample = _matrix([r["embedding"] for r in points.orderBy(F.xxhash64("embedding")).limit(SAMPLE).collect()])
+    depth = 0 if total <= WHOLE else int(np.ceil(np.log2(total / LEAF_ROWS)))
+    depth = min(depth, max(0, int(np.log2(max(1, len(sample) / 8)))))
+    forest = Forest(sample, float(top), depth, TREES if depth else 1)
+    return forest, visited_share(forest, sample, k, recall) if depth else 1.0
+
+
 def nearest(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row that meets ``is_query``."""
     spark = vectors.sparkSession
@@ -142,19 +166,10 @@ def nearest(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL) ->
     if lengths is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("embedding") == lengths["n"])
-    # The rank filter runs before the shuffle too: a repeated vector sends k + 1 ids per task.
-    least = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
-    ids = rows.distinct().withColumn("n", least).where(F.col("n") <= k + 1)
-    points = ids.groupBy("embedding").agg(F.slice(F.sort_array(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
-    points = stored(points, "ann-points")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    total, top = points.agg(F.count(F.lit(1)), F.max(norm)).first()
-    sample = _matrix([r["embedding"] for r in points.orderBy(F.xxhash64("embedding")).limit(SAMPLE).collect()])
-    depth = max(0, int(np.ceil(np.log2(max(1, total / LEAF_ROWS)))))
-    depth = min(depth, max(0, int(np.log2(max(1, len(sample) / 8)))))
-    forest = Forest(sample, float(top), depth, TREES if depth else 1)
-    share = visited_share(forest, sample, k, recall) if depth else 1.0
-    shared = spark.sparkContext.broadcast(forest)  # trees x 2^depth planes; depth is bounded by the sample
+    points = stored(distinct_points(rows, k), "ann-points")
+    forest, share = fitted(points, k, recall)
+    leaves = 2**forest.depth
+    shared = spark.sparkContext.broadcast(forest)  # trees x leaves planes; the leaves are bounded by the sample
 
     def dealt(batches):
         f = shared.value
@@ -163,15 +178,14 @@ def nearest(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL) ->
                 continue
             found = f.leaves(_matrix(pdf["embedding"]))
             for t in range(len(found)):
-                yield pd.DataFrame({"cell": t * 2**f.depth + found[t], "ids": pdf["ids"], "embedding": pdf["embedding"]})
+                yield pd.DataFrame({"cell": t * leaves + found[t], "ids": pdf["ids"], "embedding": pdf["embedding"]})
 
     cells = stored(points.mapInPandas(dealt, "cell long, ids array<long>, embedding array<double>"), "ann-cells")
-    counts = np.zeros((len(forest.planes), 2**depth), np.int64)
+    counts = np.zeros((len(forest.planes), leaves), np.int64)
     for r in cells.groupBy("cell").count().collect():  # one row per leaf
-        counts[divmod(r["cell"], 2**depth)] = r["count"]
-    most = max(LEAST_VISITED, share * total)
+        counts[divmod(r["cell"], leaves)] = r["count"]
+    most = share * counts[0].sum()
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     sizes = spark.sparkContext.broadcast(counts)
 
     def searched(batches):
@@ -181,13 +195,20 @@ def nearest(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL) ->
             for i, q in enumerate(_matrix(pdf["embedding"])):
                 for t, leaf, _ in f.order(q, held, most):
                     at.append(i)
-                    cell.append(t * 2**f.depth + leaf)
+                    cell.append(t * leaves + leaf)
             out = pdf.iloc[at].reset_index(drop=True)
-            yield pd.DataFrame({"cell": np.array(cell, np.int64), "block": out["block"], "query_id": out["query_id"], "embedding": out["embedding"]})
+            yield pd.DataFrame({"cell": np.array(cell, np.int64), "query_id": out["query_id"], "embedding": out["embedding"]})
 
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    asked = asked.repartition(F.col("query_id")).mapInPandas(searched, "cell long, block long, query_id long, embedding array<double>")
-    copies = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
+    asked = queries.repartition(F.col("query_id")).mapInPandas(searched, "cell long, query_id long, embedding array<double>")
+    asked = stored(asked, "ann-asked")
+    visits = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}  # one row per leaf
+    cut = [(c, max(1, -(-int(counts[divmod(c, leaves)]) // PART_ROWS)), -(-n // QUERY_BLOCK)) for c, n in visits.items()]
+    cut = F.broadcast(spark.createDataFrame(cut, "l_cell long, parts long, blocks long"))  # one row per leaf
+    spread = lambda column, n: F.pmod(F.xxhash64(column), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cells = cells.join(cut, F.col("cell") == F.col("l_cell")).withColumn("part", spread("embedding", "parts")).withColumn("block", each("blocks"))
+    asked = asked.join(cut, F.col("cell") == F.col("l_cell")).withColumn("block", spread("query_id", "blocks")).withColumn("part", each("parts"))
+    keys = ("cell", "part", "block")
 
     def reranked(points: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_ids": [], "scores": []}
@@ -219,7 +240,8 @@ def nearest(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL) ->
                     out["scores"].append(values)
         return pd.DataFrame(out)
 
-    found = copies.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInPandas(reranked, "query_id long, vec_ids array<long>, scores array<double>")
+    cells, asked = cells.select(*keys, "ids", "embedding"), asked.select(*keys, "query_id", "embedding")
+    found = cells.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(reranked, "query_id long, vec_ids array<long>, scores array<double>")
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -235,5 +257,5 @@ def nearest(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL) ->
             out += [(qid, rank, i, s) for rank, (i, s) in enumerate(got.items(), 1)]
         return pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
 
-    parts = max(1, -(-blocks * QUERY_BLOCK // 64))
+    parts = max(1, -(-queries.count() // 64))
     return found.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")).applyInPandas(merged, schema)
