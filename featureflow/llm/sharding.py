@@ -1,16 +1,23 @@
 """K-d tree sharding by bytes (DataFrame functions only).
 
-Rows with equal texts form one item, so that copies meet in one shard; an item that would fill
-more than ``WHOLE`` of a shard is dealt row by row. Items have three metadata dimensions: size,
-source and first doc_id. A tree node that must yield ``k`` shards is cut at the weighted
-(byte) quantile ``k//2 / k`` along the dimension in which its items spread widest, until every
-node yields one shard.
-
-Weighted medians are found by radix descent: every item has a 62-bit key in each dimension
-(31 bits of the value, 31 of a hash that splits ties). A pass sums the bytes of the next
-``RADIX`` bits of the key for all open nodes at once, with partial aggregation, and only the
-bin holding the median is looked at again. The driver sees one row per open node and pass, never
-more than the number of shards.
+Rows with equal texts form one item, so that copies meet in one shard; only an item of more bytes
+than a whole shard is dealt row by row. Items have three metadata dimensions: size, source and
+first doc_id. A tree node that must yield ``k`` shards is cut at the weighted (byte) quantile that
+its left half's shards have room for, along the dimension in which its items spread widest, until
+every node yields one shard.
+
+An item that fills a good part of a shard cannot be balanced by a cut, which falls on either side
+of it. Items above 1 / ``HEAVY`` of a shard (HEAVY times the shards at most, as their bytes add up
+to all) are therefore laid out first, largest first, each into the emptiest shard, and the tree
+fills the room that is left.
+
+Weighted quantiles are found by radix descent: every item has a 62-bit key in each dimension (the
+value, then a hash that splits ties). One pass counts items and sums bytes by the first ``RADIX``
+bits of the key, for all open nodes and all dimensions at once, with partial aggregation; it tells
+the spread and the bin that holds the quantile. Only that bin is looked at again, until it weighs
+``LOOSE`` of a shard or holds one item. Items are never rewritten: their node follows from the cuts, which
+are broadcast. The driver sees one row per open node and dimension, never more than three times
+the number of shards.
 
 Law: ``bytes`` (shard sizes near equal). Defined cases: a null text has no bytes and equals the
 other null texts, not the empty text; null sources and doc_ids lie before all others; repeated
@@ -20,7 +27,9 @@ shards stay empty; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,130 +37,163 @@ from .common import discard, stored
 
 SHARDS = 40
 OVERHEAD = 16
-#: An item up to this part of a shard is kept whole.
-WHOLE = 1 / 2
-RADIX = 14
-VALUE_BITS = 31
+#: Items above this part of a shard are laid out before the tree.
+HEAVY = 64
+#: A cut may miss its quantile by this part of a shard.
+LOOSE = 1 / 1000
+RADIX = 10
 KEY_BITS = 62
+#: Bits of the value in the key of each dimension; the others are a hash.
+VALUE_BITS = {"k_size": 31, "k_source": 14, "k_id": 31}
 #: Rows that one task numbers when slots are given out.
 SLOT_ROWS = 8192
-DIMENSIONS = ("k_size", "k_source", "k_id")
-
+DIMENSIONS = tuple(VALUE_BITS)
 
-def _items(rows: DataFrame, shards: int) -> DataFrame:
-    """Rows (doc_id, source, size, crc, text_key) -> items with bytes, keys and a join key."""
-    groups = rows.groupBy("text_key").agg(
-        F.sum("size").alias("g_bytes"), F.min("source").alias("g_source"), F.min("doc_id").alias("g_id"), F.first("size").alias("g_size"), F.count(F.lit(1)).alias("g_rows")
-    )
-    total = rows.agg(F.sum("size")).first()[0] or 0  # one number
-    most = max(1, int(total / shards * WHOLE))
-    return groups.withColumn("g_split", (F.col("g_bytes") > most) & (F.col("g_rows") > 1))
 
-
-def _keyed(items: DataFrame) -> DataFrame:
-    """Adds the keys: value scaled to 31 bits over its range, then 31 hash bits."""
-    low = items.agg(*[f(c).alias(f"{n}_{c}") for c in ("v_size", "v_source", "v_id") for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
-    out = items
+def keyed(items: DataFrame) -> DataFrame:
+    """Adds the keys to items with v_size, v_source (0 to 1), v_id and tie (a 62-bit hash)."""
+    low = items.agg(*[f(c).alias(f"{n}_{c}") for c in ("v_size", "v_id") for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
     for d, v in zip(DIMENSIONS, ("v_size", "v_source", "v_id")):
-        lo, hi = low[f"lo_{v}"] or 0.0, low[f"hi_{v}"] or 0.0
-        scaled = F.floor((F.col(v) - F.lit(lo)) / F.lit((hi - lo) or 1.0) * F.lit(float(2**VALUE_BITS - 1))).cast("long")
-        out = out.withColumn(d, F.shiftleft(scaled, KEY_BITS - VALUE_BITS) + F.col("tie"))
+        lo, hi = (0.0, 1.0) if v == "v_source" else (low[f"lo_{v}"] or 0.0, low[f"hi_{v}"] or 0.0)
+        bits = VALUE_BITS[d]
+        scaled = F.floor((F.col(v) - F.lit(lo)) / F.lit((hi - lo) or 1.0) * F.lit(float(2**bits - 1))).cast("long")
+        items = items.withColumn(d, F.shiftleft(scaled, KEY_BITS - bits) + F.shiftright("tie", bits))
+    return items
+
+
+def laid_out(sizes: list[int], shards: int) -> list[int]:
+    """The shard of each size: in the order given, each into the emptiest shard (ties: the first)."""
+    held = [(0, s) for s in range(shards)]
+    out = []
+    for n in sizes:
+        filled, s = held[0]
+        heapq.heapreplace(held, (filled + n, s))
+        out.append(s)
     return out
 
 
-def kd_tree(items: DataFrame, shards: int) -> DataFrame:
-    """Adds ``shard`` to items that have bytes and the keys of DIMENSIONS."""
-    nodes = {1: (0, shards)}  # node -> (first shard, shards to yield); the tree is kept on the driver
-    items = items.withColumn("node", F.lit(1))
-    leaves: dict[int, int] = {}
+def _noded(items: DataFrame, levels: list[dict[int, tuple[str, int]]]) -> DataFrame:
+    """Adds ``node``: each level of cuts {node: (dimension, first key of the right child)} sends items on."""
+    spark = items.sparkSession
+    items = items.withColumn("node", F.lit(1).cast("long"))
+    for cuts in levels:
+        rows = [(n, DIMENSIONS.index(d), edge) for n, (d, edge) in cuts.items()]
+        table = F.broadcast(spark.createDataFrame(rows, "c_node long, c_dim int, c_edge long"))  # fewer rows than shards
+        right = (F.element_at(F.array(*DIMENSIONS), F.col("c_dim") + 1) >= F.col("c_edge")).cast("long")
+        items = items.join(table, F.col("node") == F.col("c_node"), "left")
+        items = items.withColumn("node", F.when(F.col("c_node").isNull(), F.col("node")).otherwise(2 * F.col("node") + right)).drop("c_node", "c_dim", "c_edge")
+    return items
+
+
+def _running(value: str, *keys: str) -> Column:
+    return F.sum(value).over(W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow))
+
+
+def kd_tree(items: DataFrame, room: list[float], loose: float = LOOSE) -> DataFrame:
+    """Adds ``shard`` to items with bytes and the keys of DIMENSIONS; ``room`` has the bytes that each shard may take."""
+    spark = items.sparkSession
+    open_nodes, leaves, levels = {1: (0, len(room))}, {}, []  # node -> (first shard, shards); the tree is kept on the driver
+    near = loose * sum(room) / len(room)
+    while True:
+        for n in [n for n, (_, k) in open_nodes.items() if k == 1]:
+            leaves[n] = open_nodes.pop(n)[0]
+        if not open_nodes:
+            break
+        share = {}
+        for n, (first, k) in open_nodes.items():
+            left, whole = sum(room[first : first + k // 2]), sum(room[first : first + k])
+            share[n] = left / whole if whole > 0 else (k // 2) / k
+        found = _quantiles(_noded(items, levels), share, near)
+        levels.append({n: found[n] for n in open_nodes if n in found})
+        children = {}
+        for n, (first, k) in open_nodes.items():
+            if n in found:  # a node without items is dropped: its shards stay empty
+                children[2 * n], children[2 * n + 1] = (first, k // 2), (first + k // 2, k - k // 2)
+        open_nodes = children
+    table = F.broadcast(spark.createDataFrame(list(leaves.items()), "l_node long, shard int"))  # one row per shard
+    return _noded(items, levels).join(table, F.col("node") == F.col("l_node")).drop("l_node", "node")
+
+
+def _quantiles(items: DataFrame, share: dict[int, float], near: float) -> dict[int, tuple[str, int]]:
+    """Of each node in ``share`` that has items: its widest dimension, and the first key beyond its share of bytes."""
+    spark = items.sparkSession
+    left = KEY_BITS - RADIX
+    asked = F.broadcast(spark.createDataFrame(list(share.items()), "a_node long, share double"))  # fewer rows than shards
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(d).alias("key")) for i, d in enumerate(DIMENSIONS)])).alias("k")
+    at = items.join(asked, F.col("node") == F.col("a_node")).select("node", "share", "bytes", pairs).select("node", "share", "bytes", "k.*")
+    bins = at.groupBy("node", "dim", F.shiftright("key", left).alias("bin")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.first("share").alias("share"))
+    whole = W.partitionBy("node", "dim")
+    mean = F.sum(F.col("bin") * F.col("n")).over(whole) / F.sum("n").over(whole)
+    bins = bins.withColumn("mean", mean).withColumn("want", F.sum("bytes").over(whole) * F.col("share")).withColumn("run", _running("bytes", "node", "dim"))
+    spread = F.sum(F.col("n") * F.pow(F.col("bin") - F.col("mean"), F.lit(2.0)))
+    met = F.min(F.when(F.col("run") >= F.col("want"), F.struct("bin", "run", "bytes", "n", "want"))).alias("c")
+    state: dict[int, dict] = {}
+    for r in bins.groupBy("node", "dim").agg(spread.alias("spread"), met).orderBy("node", "dim").collect():
+        if r["node"] not in state or r["spread"] > state[r["node"]]["spread"]:
+            c = r["c"]
+            state[r["node"]] = {"spread": r["spread"], "dim": r["dim"], "prefix": c["bin"], "want": c["want"] - (c["run"] - c["bytes"]), "held": c["bytes"], "n": c["n"], "left": left}
     while True:
-        for n in [n for n, (_, k) in nodes.items() if k == 1]:
-            leaves[n] = nodes.pop(n)[0]
-        if not nodes:
+        again = {n: o for n, o in state.items() if o["left"] > 0 and o["n"] > 1 and o["held"] > near}
+        if not again:
             break
-        at = items.where(F.col("node").isin(list(nodes)))
-        spread = {r["node"]: r for r in at.groupBy("node").agg(F.sum("bytes").alias("total"), *[F.stddev_pop(d).alias(d) for d in DIMENSIONS]).collect()}
-        open_nodes = {}
-        for n, (first, k) in list(nodes.items()):
-            if n not in spread:  # no items: its shards stay empty
-                del nodes[n]
-                continue
-            widest = max(DIMENSIONS, key=lambda d: spread[n][d] or 0.0)
-            open_nodes[n] = {"dim": widest, "want": spread[n]["total"] * (k // 2) / k, "prefix": 0}
-        key = F.lit(None).cast("long")
-        for n, o in open_nodes.items():
-            key = F.when(F.col("node") == n, F.col(o["dim"])).otherwise(key)
-        keyed = at.select("node", key.alias("key"), "bytes")
-        left = KEY_BITS
-        while left > 0:
-            step = min(RADIX, left)
-            within = F.lit(False)
-            for n, o in open_nodes.items():
-                within = within | ((F.col("node") == n) & (F.shiftright("key", left) == o["prefix"]))
-            left -= step
-            bins = keyed.where(within).groupBy("node", F.shiftright("key", left).alias("bin")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
-            run = F.sum("bytes").over(W.partitionBy("node").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow))
-            wants = F.lit(None).cast("double")
-            for n, o in open_nodes.items():
-                wants = F.when(F.col("node") == n, F.lit(float(o["want"]))).otherwise(wants)
-            crossing = bins.withColumn("run", run).where(F.col("run") >= wants)
-            crossing = crossing.groupBy("node").agg(F.min(F.struct("bin", "run", "bytes", "n")).alias("c"))
-            single = True
-            for r in crossing.collect():  # one row per open node
-                o = open_nodes[r["node"]]
-                o["want"] -= r["c"]["run"] - r["c"]["bytes"]
-                o["prefix"], o["in_bin"] = r["c"]["bin"], r["c"]["bytes"]
-                single &= r["c"]["n"] == 1
-            if single:
-                break
-        children, place = {}, F.col("node")
-        for n, o in open_nodes.items():
-            first, k = nodes[n]
-            # The last bin goes to the side that leaves the smaller error.
-            edge = (o["prefix"] + (1 if o["in_bin"] - o["want"] <= o["want"] else 0)) << left
-            place = F.when(F.col("node") == n, F.when(F.col(o["dim"]) < edge, F.lit(2 * n)).otherwise(F.lit(2 * n + 1))).otherwise(place)
-            children[2 * n], children[2 * n + 1] = (first, k // 2), (first + k // 2, k - k // 2)
-        nodes = children
-        before, items = items, stored(items.withColumn("node", place), "kd-nodes")
-        discard(before)
-    shard = F.lit(0)
-    for n, s in leaves.items():
-        shard = F.when(F.col("node") == n, s).otherwise(shard)
-    return items.withColumn("shard", shard.cast("int"))
+        step = [(n, o["dim"], o["prefix"], o["left"], min(RADIX, o["left"]), float(o["want"])) for n, o in again.items()]
+        table = F.broadcast(spark.createDataFrame(step, "s_node long, s_dim int, s_prefix long, s_left int, s_step int, s_want double"))
+        key = F.element_at(F.array(*DIMENSIONS), F.col("s_dim") + 1)
+        inside = items.join(table, F.col("node") == F.col("s_node")).withColumn("key", key).where(F.expr("shiftright(key, s_left) = s_prefix"))
+        bins = inside.groupBy("node", F.expr("shiftright(key, s_left - s_step)").alias("bin"))
+        bins = bins.agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.first("s_want").alias("want")).withColumn("run", _running("bytes", "node"))
+        for r in bins.where(F.col("run") >= F.col("want")).groupBy("node").agg(F.min(F.struct("bin", "run", "bytes", "n")).alias("c")).collect():
+            o, c = state[r["node"]], r["c"]
+            o["want"] -= c["run"] - c["bytes"]
+            o["prefix"], o["held"], o["n"], o["left"] = c["bin"], c["bytes"], c["n"], o["left"] - min(RADIX, o["left"])
+    # The last bin goes to the side that leaves the smaller error.
+    return {n: (DIMENSIONS[o["dim"]], (o["prefix"] + (1 if o["held"] - o["want"] <= o["want"] else 0)) << o["left"]) for n, o in state.items()}
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null)."""
+    spark = docs.sparkSession
     text = F.col("text")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
-        F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), text.isNull().alias("n")).alias("text_key"),
+        F.xxhash64(text).alias("a"),
+        F.xxhash64(F.lit(1), text).alias("b"),
+        text.isNull().alias("none"),
     )
     raw = rows = stored(rows, "shard-rows")
-    groups = _items(rows, shards)
-    marked = rows.join(groups.where("g_split").select(F.col("text_key").alias("s_key")), F.col("text_key") == F.col("s_key"), "left")
-    # Rows of a large item are items themselves: their key carries the row's own hash.
-    own = F.when(F.col("s_key").isNotNull(), F.xxhash64("doc_id", "source")).otherwise(F.lit(0))
-    rows = stored(marked.select("doc_id", "source", "size", "text_crc32", F.struct("text_key.a", "text_key.b", "text_key.n", own.alias("o")).alias("item")), "shard-items")
-    name = F.conv(F.substring(F.md5(F.coalesce(F.col("v_name"), F.lit(""))), 1, 7), 16, 10).cast("double")
-    items = rows.groupBy("item").agg(F.sum("size").alias("bytes"), F.min("source").alias("v_name"), F.min("doc_id").alias("first_id"), F.first("size").alias("one_size"))
+    whole = (rows.agg(F.sum("size")).first()[0] or 0) / shards
+    # Groups larger than a shard are fewer than the shards. Their rows are items themselves, told apart by a hash.
+    large = rows.groupBy("a", "b", "none").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).where((F.col("bytes") > whole) & (F.col("n") > 1))
+    large = F.broadcast(large.select(F.col("a").alias("l_a"), F.col("b").alias("l_b"), F.col("none").alias("l_none")))
+    rows = rows.join(large, (F.col("a") == F.col("l_a")) & (F.col("b") == F.col("l_b")) & (F.col("none") == F.col("l_none")), "left")
+    own = F.when(F.col("l_a").isNotNull(), F.xxhash64("doc_id", "source")).otherwise(F.lit(0))
+    rows = rows.select("doc_id", "source", "size", "text_crc32", "a", "b", F.xxhash64("none", own).alias("o"))
+    items = rows.groupBy("a", "b", "o").agg(F.sum("size").alias("bytes"), F.min("source").alias("v_name"), F.min("doc_id").alias("first_id"), F.first("size").alias("one_size"))
+    name = F.conv(F.substring(F.md5("v_name"), 1, 7), 16, 10).cast("double") / F.lit(float(2**28))
     items = items.select(
-        "item",
-        "bytes",
+        *("a", "b", "o", "bytes"),
         F.log2(F.col("one_size").cast("double")).alias("v_size"),
-        F.when(F.col("v_name").isNull(), F.lit(-1.0)).otherwise(name).alias("v_source"),
+        F.coalesce(name, F.lit(0.0)).alias("v_source"),
         F.coalesce(F.col("first_id").cast("double"), F.lit(-1.0)).alias("v_id"),
-        F.pmod(F.xxhash64("item"), F.lit(2**31)).alias("tie"),
+        F.shiftrightunsigned(F.xxhash64("a", "b", "o"), 2).alias("tie"),
     )
     items = stored(items, "kd-items")
-    placed = kd_tree(_keyed(items), shards).select(F.col("item").alias("p_item"), "shard")
-    placed_rows = stored(rows.join(placed, F.col("item") == F.col("p_item")).drop("p_item", "item"), "kd-rows")
-    discard(raw, rows, items)
-    rows = placed_rows
-    return _slotted(rows, shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    heavy = items.where(F.col("bytes") > whole / HEAVY).select("a", "b", "o", "bytes").collect()  # HEAVY x shards rows at most
+    heavy.sort(key=lambda r: (-r["bytes"], r["a"], r["b"], r["o"]))
+    homes = laid_out([r["bytes"] for r in heavy], shards)
+    room = [whole] * shards
+    for r, s in zip(heavy, homes):
+        room[s] -= r["bytes"]
+    placed = kd_tree(keyed(items.where(F.col("bytes") <= whole / HEAVY)), [max(0.0, x) for x in room]).select("a", "b", "o", "shard")
+    fixed = spark.createDataFrame([(r["a"], r["b"], r["o"], s) for r, s in zip(heavy, homes)], "a long, b long, o long, shard int")
+    placed = placed.unionByName(fixed).select(F.col("a").alias("p_a"), F.col("b").alias("p_b"), F.col("o").alias("p_o"), "shard")
+    same = (F.col("a") == F.col("p_a")) & (F.col("b") == F.col("p_b")) & (F.col("o") == F.col("p_o"))
+    placed_rows = stored(rows.join(placed, same).select("doc_id", "size", "text_crc32", "shard"), "kd-rows")
+    discard(raw, items)
+    return _slotted(placed_rows, shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def _slotted(rows: DataFrame, shards: int) -> DataFrame:

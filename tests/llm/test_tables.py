@@ -6,11 +6,12 @@ from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import SMALL, assert_same
 from pyspark.sql import functions as F
 
-from featureflow.llm import ann, registry
+from featureflow.llm import ann, registry, sharding
 from featureflow.llm.ann import nearest
 from featureflow.llm.html_extract import extract_text, hashed, main_text, parse
 from featureflow.llm.mixing import fair_queue, mixed_documents
@@ -315,6 +316,64 @@ def test_shards_split_a_hot_group(make_docs):
     assert max(sizes.values()) < 1.1 * min(sizes.values())
 
 
+def test_kd_tree_against_a_sort(spark):
+    """The tree written out: sort a node's items, cut where the running bytes meet the share."""
+    r = random.Random(3)
+    rows = [(i, r.choice((20, 20, 300, r.randrange(1, 4000))), r.random() ** 3 * 9, r.randrange(6) / 6, float(r.choice((i, 5))), r.getrandbits(62)) for i in range(700)]
+    items = sharding.keyed(spark.createDataFrame(rows, "i long, bytes long, v_size double, v_source double, v_id double, tie long"))
+    total = sum(x[1] for x in rows)
+    room = [total / 13 * w for w in (1, 1, 0.5, 1.2, 1, 1, 0, 1.3, 1, 1, 1, 1, 2)]
+    got = {x.i: x.shard for x in sharding.kd_tree(items, room, 0.0).collect()}
+    out = {}
+
+    def grow(own, first, k):
+        if k == 1 or not own:
+            out.update((x.i, first) for x in own)
+            return
+        spread = []
+        for d in sharding.DIMENSIONS:
+            bins = [x[d] >> (sharding.KEY_BITS - sharding.RADIX) for x in own]
+            spread.append(sum((b - sum(bins) / len(bins)) ** 2 for b in bins))
+        d = sharding.DIMENSIONS[spread.index(max(spread))]
+        left, whole = sum(room[first : first + k // 2]), sum(room[first : first + k])
+        want = sum(x.bytes for x in own) * left / whole
+        own = sorted(own, key=lambda x: x[d])
+        run = 0
+        for at, x in enumerate(own):
+            run += x.bytes
+            if run >= want:
+                break
+        if run - want <= want - (run - x.bytes):
+            at += 1
+        grow(own[:at], first, k // 2)
+        grow(own[at:], first + k // 2, k - k // 2)
+
+    grow(items.collect(), 0, len(room))
+    assert got == out and len(set(got.values())) == 12
+    sizes = Counter()
+    for x in sharding.kd_tree(items, room).collect():
+        sizes[x.shard] += x.bytes
+    assert all(abs(sizes[s] - n) < 0.15 * total / 13 for s, n in enumerate(room))
+
+
+def test_heavy_items_fill_the_emptiest_shard():
+    assert sharding.laid_out([9, 8, 7, 3, 3, 1], 3) == [0, 1, 2, 2, 1, 0] and sharding.laid_out([], 3) == []
+
+
+def test_groups_of_up_to_a_shard_stay_whole(make_docs):
+    rows = [(i, f"group {i % 5} " * 30) for i in range(500)] + [(1000 + i, f"{i} " + "y" * r) for i, r in enumerate(random.Random(4).choices(range(20, 300), k=900))]
+    rows += [(None, "no id"), (None, "no id"), (7, "group 0 " * 30), (8, None, None)]
+    table = make_docs(rows)
+    got = table.select("doc_id", "text", F.crc32(F.coalesce("text", F.lit(""))).alias("c")).distinct().join(shard_documents(table, 8).withColumnRenamed("doc_id", "d"), F.col("c") == F.col("text_crc32"))
+    homes, sizes = defaultdict(set), Counter()
+    for x in got.select("text", "shard").distinct().collect():
+        homes[x.text].add(x.shard)
+    assert all(len(h) == 1 for h in homes.values())
+    for x in shard_documents(table, 8).collect():
+        sizes[x.shard] += x.size
+    assert max(sizes.values()) < 1.03 * sum(sizes.values()) / 8
+
+
 def test_shards_degenerate(make_docs):
     rows = [(1, None), (2, ""), (3, "y" * 100_000), (None, "z", None), (4, "z")]
     check_shards(rows, shard_documents(make_docs(rows)).collect(), 40)
@@ -356,8 +415,10 @@ def test_nearest_bad_vectors(spark):
 
 
 def test_recall_of_a_real_search(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LEAST_VISITED", 0)
+    monkeypatch.setattr(ann, "WHOLE", 0)
     monkeypatch.setattr(ann, "LEAF_ROWS", 64)
+    monkeypatch.setattr(ann, "PART_ROWS", 30)  # leaves and their visits are cut
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.orderBy("vec_id").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
@@ -367,3 +428,30 @@ def test_recall_of_a_real_search(spark, monkeypatch):
     at = {i: k for k, i in enumerate(ids.tolist())}
     recall = [len(got[q] & {i for i, _ in brute_nearest(ids, x, at[q], 20)}) / 20 for q in got]
     assert len(got) == sum(ids % 20 == 0) and np.mean(recall) >= 0.9
+
+
+def test_recall_and_visits_as_shipped(spark):
+    """50,000 vectors in 400 clusters of different sizes, searched with the settings that production uses."""
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(400, 32))
+    owner = r.choice(400, 50_000, p=np.arange(1, 401) / 80_200)
+    x = (centres[owner] + 0.35 * r.normal(size=(50_000, 32))).astype(np.float32)
+    ids = np.arange(50_000)
+    df = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": list(x)})).repartition(8)
+    asked = F.col("vec_id") % 250 == 0
+    got = defaultdict(set)
+    for n in nearest(df, asked).collect():
+        got[n.query_id].add(n.vec_id)
+    x = x.astype(float)
+    recall = [len(got[q] & {i for i, _ in brute_nearest(ids, x, q, 20)}) / 20 for q in range(0, 50_000, 250)]
+    assert len(got) == 200 and np.mean(recall) >= 0.9
+    forest, share = ann.fitted(ann.distinct_points(ann.usable(df), ann.K))
+    leaves = forest.leaves(x)
+    counts = np.stack([np.bincount(row, minlength=2**forest.depth) for row in leaves])
+    seen = []
+    for q in range(0, 50_000, 2500):
+        rows = np.zeros(len(x), bool)
+        for t, leaf, _ in forest.order(x[q], counts, share * len(x)):
+            rows |= leaves[t] == leaf
+        seen.append(rows.mean())
+    assert forest.depth == 7 and np.mean(seen) < 0.3
