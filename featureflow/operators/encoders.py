@@ -1,9 +1,9 @@
 """Categorical encoders as fit / encode strategies.
 
-A fitted mapping is a snapshot: up to ``LOCAL_ROWS`` categories become a local table, whose
-size is thereby proven and which is broadcast to the rows; a larger mapping is written to the
-session's shared folder and joined without a hint, so that AQE picks the join and splits hot
-keys. State is kept per column.
+A fitted mapping is a snapshot, computed once: up to ``LOCAL_ROWS`` categories of ``LOCAL_BYTES``
+together become a local table, whose size is thereby proven and which is broadcast to the rows; a
+larger mapping is written to the session's shared folder until the session ends and joined
+without a hint, so that AQE picks the join and splits hot keys. State is kept per column.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import as_float, indicator, present, quoted, require
-from ..session import shared_dir
+from ..session import scratch_table
 from .aggregates import value_counts
 
 logger = logging.getLogger(__name__)
 
-#: Categories of a mapping that is held as a local table and broadcast.
+#: Categories, and their bytes, of a mapping that is held as a local table and broadcast.
 LOCAL_ROWS = 50_000
+LOCAL_BYTES = 8 << 20
 #: Dummy columns that one frame may get.
 MOST_CATEGORIES = 5_000
 
@@ -42,13 +43,14 @@ class EncodingStrategy(ABC):
 
 def _snapshot(mapping: DataFrame) -> tuple[DataFrame, bool]:
     """(frozen mapping, whether its size is proven small)."""
-    spark = mapping.sparkSession
-    head = mapping.limit(LOCAL_ROWS + 1).toArrow()
-    if head.num_rows <= LOCAL_ROWS:
-        return spark.createDataFrame(head, schema=mapping.schema), True
-    path = f"{shared_dir(spark).rstrip('/')}/mapping-{uuid.uuid4().hex}"
-    mapping.write.parquet(path)
-    return spark.read.schema(mapping.schema).parquet(path), False
+    held = mapping.persist()
+    try:
+        head = held.limit(LOCAL_ROWS + 1).toArrow()
+        if head.num_rows <= LOCAL_ROWS and head.nbytes <= LOCAL_BYTES:
+            return mapping.sparkSession.createDataFrame(head, schema=mapping.schema), True
+        return scratch_table(held, "mapping"), False
+    finally:
+        held.unpersist()
 
 
 def _look_up(df: DataFrame, column: str, mapping: DataFrame, small: bool, output: str, default: Column) -> DataFrame:
@@ -151,16 +153,25 @@ class TargetEncodingStrategy(EncodingStrategy):
         if not target:
             raise ValueError("a target column is needed: fit(..., target=) or target_col=")
         require(df, column, target)
-        mean = df.agg(F.avg(as_float(df, target))).first()[0]
-        self._fitted[column] = (*_snapshot(self.mapping(df, column, target, mean)), mean)
+        sums, small = _snapshot(self.sums(df, column, target))
+        mean = self.mean(sums)
+        self._fitted[column] = (self.mapping(sums, mean), small, mean)
         return self
 
-    def mapping(self, df: DataFrame, column: str, target: str, mean: float | None) -> DataFrame:
-        rows = df.select(present(df, column).alias("category"), as_float(df, target).alias("t")).where("category is not null")
-        groups = rows.groupBy("category").agg(F.avg("t").alias("m"), F.count("t").alias("n"))
+    @staticmethod
+    def sums(df: DataFrame, column: str, target: str) -> DataFrame:
+        """category (NULL for the rows without one), total and number of its targets; one scan."""
+        rows = df.select(present(df, column).alias("category"), as_float(df, target).alias("t"))
+        return rows.groupBy("category").agg(F.sum("t").alias("total"), F.count("t").alias("n"))
+
+    @staticmethod
+    def mean(sums: DataFrame) -> float | None:
+        return sums.agg(F.try_divide(F.sum("total"), F.sum("n"))).first()[0]
+
+    def mapping(self, sums: DataFrame, mean: float | None) -> DataFrame:
         prior, weight = F.lit(mean).cast("double"), F.lit(float(self.smoothing))
-        smooth = F.when(F.col("m").isNotNull(), (F.col("n") * F.col("m") + weight * prior) / (F.col("n") + weight))
-        return groups.select("category", F.coalesce(smooth, prior).alias("encoding"))
+        smooth = F.when(F.col("n") > 0, (F.col("total") + weight * prior) / (F.col("n") + weight))
+        return sums.where("category is not null").select("category", F.coalesce(smooth, prior).alias("encoding"))
 
     def encode(self, df: DataFrame, column: str) -> DataFrame:
         require(df, column)

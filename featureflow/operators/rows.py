@@ -17,13 +17,13 @@ def _key(df: DataFrame, by: str | list[str]):
 def drop_last_row(df: DataFrame, by: str | list[str]) -> DataFrame:
     """All rows but the last by a unique key; NULL keys come first; empty stays empty.
 
-    The largest key is one aggregate, compared as a scalar. A key shared by several last rows
-    is an error when the plan runs, as it would name no single row.
+    The largest key is one aggregate, compared as a scalar, and so is the number of rows that
+    have it; nothing is shuffled by key. A key shared by several last rows is an error when the
+    plan runs, as it would name no single row.
     """
     key = _key(df, by)
     last = df.agg(F.max(key)).scalar()
-    ties = df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("k")).limit(1)
-    many = F.coalesce(ties.select("n").scalar(), F.lit(0)) > 1
+    many = df.where(key.eqNullSafe(last)).agg(F.count(F.lit(1))).scalar() > 1
     unique = F.when(many, F.raise_error(F.lit(f"the order key {by!r} is not unique at its end")).cast("boolean")).otherwise(F.lit(True))
     return df.where(~key.eqNullSafe(last) & unique)
 

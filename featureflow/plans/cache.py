@@ -21,10 +21,23 @@ def content_fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
+class PlanKey:
+    """A frame as a key: the hash of its plan finds candidates, its meaning confirms them."""
+
+    def __init__(self, df: DataFrame):
+        self.df, self.code = df, hash((df.semanticHash(), df.schema.simpleString()))
+
+    def __hash__(self) -> int:
+        return self.code
+
+    def __eq__(self, other) -> bool:
+        return isinstance(other, PlanKey) and self.code == other.code and self.df.schema == other.df.schema and self.df.sameSemantics(other.df)
+
+
 def frozen(value):
     """A hashable key; types count, so 1 and True, or a list and a tuple, are different."""
     if isinstance(value, DataFrame):
-        return ("frame", value.semanticHash(), value.schema.simpleString())
+        return PlanKey(value)
     if isinstance(value, dict):
         return ("dict", tuple(sorted((repr(k), frozen(v)) for k, v in value.items())))
     if isinstance(value, (list, tuple, set, frozenset)):
