@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 import inspect
 import json
@@ -49,11 +50,18 @@ def _params(obj) -> dict:
     return found
 
 
+#: Packages whose classes a manifest may name.
+TRUSTED = ("featureflow",)
+
+
 class SerializableMixin:
-    """Saves a JSON manifest of classes and parameters; loading runs no stored code."""
+    """Saves a JSON manifest of classes and parameters.
+
+    Loading looks classes up in the packages named by ``trusted`` and imports no other module.
+    """
 
     def to_manifest(self) -> dict:
-        return {"class": f"{type(self).__module__}:{type(self).__qualname__}", "params": _params(self)}
+        return _described(self)
 
     def save(self, path: str | Path) -> None:
         path = Path(path)
@@ -61,22 +69,26 @@ class SerializableMixin:
         path.write_text(json.dumps(self.to_manifest(), indent=2, default=str), encoding="utf-8")
 
     @classmethod
-    def load(cls, path: str | Path):
-        found = from_manifest(json.loads(Path(path).read_text(encoding="utf-8")))
+    def load(cls, path: str | Path, trusted: tuple[str, ...] = TRUSTED):
+        found = from_manifest(json.loads(Path(path).read_text(encoding="utf-8")), trusted)
         if not isinstance(found, cls):
             raise TypeError(f"{path} holds a {type(found).__name__}, not a {cls.__name__}")
         return found
 
 
-def from_manifest(manifest: dict):
+def _described(obj) -> dict:
+    return {"class": f"{type(obj).__module__}:{type(obj).__qualname__}", "params": _params(obj)}
+
+
+def from_manifest(manifest: dict, trusted: tuple[str, ...] = TRUSTED):
     module, _, name = manifest["class"].partition(":")
-    kind = importlib.import_module(module)
-    for part in name.split("."):
-        kind = getattr(kind, part)
-    if not issubclass(kind, (BasePipelineStep, SerializableMixin)):
+    if not any(module == t or module.startswith(f"{t}.") for t in trusted):
+        raise TypeError(f"{manifest['class']} is in none of the packages {', '.join(trusted)}; name its package in trusted= to load it")
+    kind = functools.reduce(getattr, name.split("."), importlib.import_module(module))
+    if not (isinstance(kind, type) and issubclass(kind, (BasePipelineStep, SerializableMixin))):
         raise TypeError(f"{manifest['class']} is neither a step nor a pipeline")
     if issubclass(kind, Pipeline):
-        return kind([from_manifest(s) for s in manifest["steps"]], metrics=manifest.get("metrics", "off"))
+        return kind([from_manifest(s, trusted) for s in manifest["steps"]], metrics=manifest.get("metrics", "off"))
     return kind(**manifest["params"])
 
 
@@ -91,29 +103,35 @@ class Pipeline(LoggableMixin, SerializableMixin, ValidatableMixin, PipelineSubje
             self.add_step(step)
 
     def add_step(self, step: BasePipelineStep) -> None:
-        if not isinstance(step, BasePipelineStep):
-            raise TypeError(f"a step must be a BasePipelineStep, not {type(step).__name__}")
+        self._check(step)
+        self.steps.append(step)
         for observer in self.observers:
             step.attach(observer)
-        self.steps.append(step)
+
+    @staticmethod
+    def _check(step) -> None:
+        if not isinstance(step, BasePipelineStep):
+            raise TypeError(f"a step must be a BasePipelineStep, not {type(step).__name__}")
+        check_step_class(type(step))
+
+    def _subjects(self) -> list[PipelineSubject]:
+        """The pipeline's own observers and those of its steps."""
+        return [self, *self.steps]
 
     def attach_observer(self, observer) -> None:
-        self.attach(observer)
-        for step in self.steps:
-            step.attach(observer)
+        for subject in self._subjects():
+            subject.attach(observer)
 
     def detach_observer(self, observer) -> None:
-        self.detach(observer)
-        for step in self.steps:
-            step.detach(observer)
+        for subject in self._subjects():
+            subject.detach(observer)
 
     def validate(self, df: DataFrame | None) -> bool:
-        if df is not None and not isinstance(df, DataFrame):
+        """True, or a TypeError that names the input or the step that breaks the contract."""
+        if not isinstance(df, (DataFrame, type(None))):
             raise TypeError(f"a pipeline takes a DataFrame or None, not {type(df).__name__}")
-        for step in self.steps:
-            if not isinstance(step, BasePipelineStep):
-                raise TypeError(f"{step!r} is no BasePipelineStep")
-            check_step_class(type(step))
+        for step in self.steps:  # the list is open to all, so steps are looked at again
+            self._check(step)
         return True
 
     def run(self, df: DataFrame | None = None) -> DataFrame | None:
@@ -135,8 +153,8 @@ class Pipeline(LoggableMixin, SerializableMixin, ValidatableMixin, PipelineSubje
         self.counter.release()
 
     def to_manifest(self) -> dict:
-        steps = [{"class": f"{type(s).__module__}:{type(s).__qualname__}", "params": _params(s)} for s in self.steps]
-        return {"class": f"{type(self).__module__}:{type(self).__qualname__}", "metrics": self.metrics, "steps": steps}
+        own = f"{type(self).__module__}:{type(self).__qualname__}"
+        return {"class": own, "metrics": self.metrics, "steps": [_described(s) for s in self.steps]}
 
     def __repr__(self) -> str:
         return f"Pipeline(steps={[s.name for s in self.steps]})"

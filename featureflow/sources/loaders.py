@@ -23,6 +23,10 @@ NA_TOKENS = (
 )
 
 
+# The types of orient="table" and what they are here; others are read as text.
+TABLE_TYPES = {"integer": "bigint", "number": "double", "boolean": "boolean", "datetime": "timestamp", "string": "string"}
+
+
 class _FileSource(BasePipelineStep):
     name = "file_source"
 
@@ -123,15 +127,17 @@ def _inferred(frame: DataFrame) -> dict[str, str]:
 class JSONLoader(_FileSource):
     """``lines=True``: one object per line, else a document by ``orient``.
 
-    Orients: records (default) is read natively. columns, index, split and values describe one
-    document as a whole; it is parsed by Spark's JSON functions and exploded. ``schema`` (DDL)
-    keeps the column order, which inference sorts by name.
+    Orients: records (default) is read natively. columns, index, split, values and table describe
+    one document as a whole; it is parsed by Spark's JSON functions and exploded, so each file is
+    one value in one task and must be smaller than 2 GB and than a task's memory. ``schema`` (DDL)
+    keeps the column order, which inference sorts by name. table brings its own types and column
+    order; there are no row labels here, so an index that has no name of its own is dropped.
     """
 
     name = "json_loader"
 
     def __init__(self, path, orient: str | None = None, lines: bool = False, schema: str | None = None, **options):
-        known = {"records", "columns", "index", "split", "values"}
+        known = {"records", "columns", "index", "split", "values", "table"}
         if orient is not None and orient not in known:
             raise ValueError(f"orient must be one of {sorted(known)}, not {orient!r}")
         if lines and orient not in (None, "records"):
@@ -148,6 +154,8 @@ class JSONLoader(_FileSource):
 
     def _document(self, spark: SparkSession) -> DataFrame:
         whole = spark.read.text(self.path, wholetext=True).select("value")
+        if self.orient == "table":
+            return self._table(whole)
         cells = "map<string,string>"
         if self.orient == "columns":
             # {column: {row: value}} -> one row per row label
@@ -173,14 +181,30 @@ class JSONLoader(_FileSource):
         return rows.select(*[F.col("row")[n].cast(t).alias(n) for n, t in fields])
 
 
+    def _table(self, whole: DataFrame) -> DataFrame:
+        shape = "schema struct<fields: array<struct<name: string, type: string>>>, data array<map<string, string>>"
+        parsed = whole.select(F.from_json("value", shape).alias("d"))
+        first = parsed.select("d.schema.fields").first()  # names and types of the columns
+        told = [(f["name"], TABLE_TYPES.get(f["type"], "string")) for f in (first["fields"] if first else None) or () if f["name"] != "index"]
+        if self.schema:
+            told = [(f.name, f.dataType.simpleString()) for f in T.StructType.fromDDL(self.schema)]
+        rows = parsed.select(F.explode("d.data").alias("row"))
+        return rows.select(*[F.col("row")[n].cast(t).alias(n) for n, t in told])
+
+
 def json_document(rows: list[dict], orient: str = "records") -> str:
     """The text of a document in an orient; for tests and small fixtures."""
     names = list(rows[0]) if rows else []
+    kinds = {bool: "boolean", int: "integer", float: "number"}
     body = {
         "records": rows,
         "columns": {n: {str(i): r[n] for i, r in enumerate(rows)} for n in names},
         "index": {str(i): r for i, r in enumerate(rows)},
         "split": {"columns": names, "index": list(range(len(rows))), "data": [[r[n] for n in names] for r in rows]},
         "values": [[r[n] for n in names] for r in rows],
+        "table": {
+            "schema": {"fields": [{"name": "index", "type": "integer"}, *({"name": n, "type": kinds.get(type(rows[0][n]), "string")} for n in names)], "primaryKey": ["index"]},
+            "data": [{"index": i, **r} for i, r in enumerate(rows)],
+        },
     }
     return json.dumps(body[orient])

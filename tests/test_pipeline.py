@@ -1,4 +1,5 @@
 import logging
+import sys
 import warnings
 
 import pytest
@@ -176,6 +177,10 @@ def test_manifest(spark, source, tmp_path):
     (tmp_path / "bad.json").write_text('{"class": "builtins:dict", "params": {}}')
     with pytest.raises(TypeError):
         Pipeline.load(tmp_path / "bad.json")
+    (tmp_path / "hostile.json").write_text('{"class": "featureflow.plans.pipeline:Pipeline", "steps": [{"class": "this:s", "params": {}}]}')
+    with pytest.raises(TypeError, match="none of the packages"):
+        Pipeline.load(tmp_path / "hostile.json")
+    assert "this" not in sys.modules  # the module was not imported
 
     class Other(Pipeline): ...
 

@@ -46,7 +46,7 @@ def test_csv_separator_and_encoding(spark, tmp_path):
     assert tuple(CSVLoader(path, sep=";", encoding="ISO-8859-1").run(None).first()) == (1, "é")
 
 
-@pytest.mark.parametrize("orient", ["records", "columns", "index", "split"])
+@pytest.mark.parametrize("orient", ["records", "columns", "index", "split", "table"])
 def test_json_orients(spark, tmp_path, orient):
     rows = [{"z": 1, "a": "x"}, {"z": 2, "a": "y"}]
     path = tmp_path / "d.json"
@@ -62,8 +62,13 @@ def test_json_values_lines_and_errors(spark, tmp_path):
     lines = tmp_path / "l.json"
     lines.write_text('{"a": 1}\n{"a": 2}\n')
     assert JSONLoader(lines, lines=True).run(None).count() == 2
+    table = tmp_path / "t.json"
+    pd.DataFrame({"b": [1, 2], "a": ["x", None], "f": [0.5, 1.5], "t": [True, False]}).to_json(table, orient="table")
+    df = JSONLoader(table, orient="table").run(None)
+    assert df.dtypes == [("b", "bigint"), ("a", "string"), ("f", "double"), ("t", "boolean")]
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "x", 0.5, True), (2, None, 1.5, False)]
     with pytest.raises(ValueError):
-        JSONLoader(lines, orient="table")
+        JSONLoader(lines, orient="rows")
     with pytest.raises(ValueError):
         JSONLoader(lines, orient="split", lines=True)
 

@@ -3,8 +3,10 @@ import time
 
 import pytest
 
-from featureflow.config import Config, ConfigNew, SingletonMeta, deep_merge
+from featureflow import config
+from featureflow.config import Config, ConfigNew, SingletonMeta, overlaid
 from featureflow.operators import cast_roundtrip, drop_last_row, first_row, temp_dtypes, value_counts
+from featureflow.plans import cache
 from featureflow.plans.cache import content_fingerprint, memoize_dataframe
 from featureflow.plans.instrument import MemoryGuard, Timer, log_calls, retry, timeit
 from featureflow.session import session_conf
@@ -112,6 +114,16 @@ def test_memoize(spark):
     assert len(built) == 8
     with pytest.raises(TypeError):
         plain(bytearray())
+
+    class Collides(cache.PlanKey):
+        def __init__(self, df):
+            super().__init__(df)
+            self.code = 1
+
+        __hash__ = cache.PlanKey.__hash__
+
+    keys = {Collides(spark.range(n)): n for n in (3, 4, 3)}
+    assert len(keys) == 2 and keys[Collides(spark.range(4))] == 4
     with pytest.raises(ValueError):
         memoize_dataframe(maxsize=0)
 
@@ -180,7 +192,25 @@ def test_config(tmp_path):
     (tmp_path / "empty.yaml").write_text("")
     assert Config(tmp_path / "empty.yaml").pipeline["chunk_size"] == 100_000
     Config.reset()
-    assert deep_merge({"a": {"b": 1}, "c": 1}, {"a": {"d": 2}, "c": {"e": 1}}) == {"a": {"b": 1, "d": 2}, "c": {"e": 1}}
+    assert overlaid({"a": {"b": 1}, "c": 1}, {"a": {"d": 2}, "c": {"e": 1}}) == {"a": {"b": 1, "d": 2}, "c": {"e": 1}}
+    assert overlaid({"a": {"b": 1, "c": 2}}, {"a": 5}, {"a": {"b": 3}}) == {"a": {"b": 3}} and overlaid() == {}
+
+
+def test_config_is_found_without_a_path(tmp_path, monkeypatch):
+    (tmp_path / "config.yaml").write_text("model: {seed: 9}\n")
+    monkeypatch.setattr(config, "LOOKED_UP", (tmp_path / "none.yaml", tmp_path / "config.yaml"))
+    Config.reset()
+    assert Config().seed == 9 and Config().model["max_depth"] == 6
+    Config.reset()
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr(config, "LOOKED_UP", config.LOOKED_UP[:1] + (type(tmp_path)("config.yaml"),))
+    assert Config().seed == 9
+    Config.reset()
+
+    class Other(metaclass=SingletonMeta): ...
+
+    assert Other() is Other() and not isinstance(Config(), Other)
+    Config.reset()
 
 
 def test_descriptors():
