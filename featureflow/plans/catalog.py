@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-import uuid
+import tempfile
 import warnings
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import DEFAULTS, Config
+
 from ..functions.exprs import fill_missing, ratio, replace_value
 from ..operators import aggregates, casts, rows
 from ..operators.encoders import FeatureEngineer, FrequencyEncodingStrategy, OneHotStrategy, TargetEncodingStrategy
-from ..session import shared_dir
-from ..sources import CSVLoader, JSONLoader, LoaderFactory, ParquetLoader, scan_parquet_files, write_csv, write_json, write_parquet
-from .cache import content_fingerprint
-from .events import AlertObserver, MetricsObserver
+from ..session import scratch_path, session_conf
+from ..sources import CSVLoader, JSONLoader, LoaderFactory, ParquetLoader, register_loader, scan_parquet_files, write_csv, write_json, write_parquet
+from ..sources.loaders import json_document
+from ..streaming import run_stream
+from ..validation import ModelConfig
+from .cache import content_fingerprint, memoize_dataframe
+from .events import AlertObserver, LoggingObserver, MetricsObserver
+from .instrument import retry
 from .pipeline import Pipeline
-from .steps import DropLastRowStep, FirstRowStep, IdentityStep, RatioStep, SelectStep
+from .step import BasePipelineStep
+from .steps import DropColumnsStep, DropLastRowStep, EncodeStep, FirstRowStep, FunctionStep, IdentityStep, RatioStep, RowsSource, SelectStep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,10 +53,6 @@ def load(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     return ParquetLoader(f"{sf_dir}/{name}.parquet", columns, filters).run(None)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # Scans, sources, sinks -----------------------------------------------------------------------
 
 
@@ -83,49 +87,124 @@ _NATION = "n_nationkey int, n_name string, n_regionkey int"
 
 @query("SELECT * FROM nation")
 def csv_roundtrip(spark, sf_dir):
-    return CSVLoader(write_csv(load(spark, sf_dir, "nation"), scratch(spark, "csv")), schema=_NATION).run(None)
+    return CSVLoader(write_csv(load(spark, sf_dir, "nation"), scratch_path(spark, "csv")), schema=_NATION).run(None)
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
 def csv_inferred(spark, sf_dir):
-    return CSVLoader(write_csv(load(spark, sf_dir, "nation"), scratch(spark, "csv"))).run(None)
+    return CSVLoader(write_csv(load(spark, sf_dir, "nation"), scratch_path(spark, "csv"))).run(None)
 
 
 @query("SELECT * FROM nation")
 def csv_custom_sep(spark, sf_dir):
-    return CSVLoader(write_csv(load(spark, sf_dir, "nation"), scratch(spark, "csv"), sep=";"), sep=";", schema=_NATION).run(None)
+    return CSVLoader(write_csv(load(spark, sf_dir, "nation"), scratch_path(spark, "csv"), sep=";"), sep=";", schema=_NATION).run(None)
 
 
 @query("SELECT * FROM nation")
 def json_lines(spark, sf_dir):
-    return JSONLoader(write_json(load(spark, sf_dir, "nation"), scratch(spark, "json")), lines=True, schema=_NATION).run(None)
+    return JSONLoader(write_json(load(spark, sf_dir, "nation"), scratch_path(spark, "json")), lines=True, schema=_NATION).run(None)
 
 
 @query("SELECT * FROM nation")
 def json_records(spark, sf_dir):
-    path = scratch(spark, "records")
+    path = scratch_path(spark, "records")
     table = load(spark, sf_dir, "nation")
     # One document: the 25 rows of nation as an array of records.
     table.agg(F.to_json(F.collect_list(F.struct(*table.columns)))).coalesce(1).write.text(path)
     return JSONLoader(path, orient="records", schema=_NATION).run(None)
 
 
+def _json_orient(spark, sf_dir, orient: str, schema: str | None = _NATION) -> DataFrame:
+    """The 25 nations as one document of an orient, written by a task and read back."""
+    rows = [r.asDict() for r in load(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    path = scratch_path(spark, f"json-{orient}")
+    spark.createDataFrame([(json_document(rows, orient),)], "value string").coalesce(1).write.text(path)
+    return JSONLoader(path, orient=orient, schema=schema).run(None)
+
+
+@query("SELECT * FROM nation")
+def json_columns(spark, sf_dir):
+    return _json_orient(spark, sf_dir, "columns")
+
+
+@query("SELECT * FROM nation")
+def json_index(spark, sf_dir):
+    return _json_orient(spark, sf_dir, "index")
+
+
+@query("SELECT * FROM nation")
+def json_split(spark, sf_dir):
+    return _json_orient(spark, sf_dir, "split")
+
+
+@query('SELECT CAST(n_nationkey AS BIGINT) AS "0", n_name AS "1", CAST(n_regionkey AS BIGINT) AS "2" FROM nation')
+def json_values(spark, sf_dir):
+    return _json_orient(spark, sf_dir, "values", None)
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def json_table(spark, sf_dir):
+    return _json_orient(spark, sf_dir, "table", None)
+
+
+@query("SELECT * FROM customer")
+def orc_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "orc") + ".orc"
+    load(spark, sf_dir, "customer").write.orc(path)
+    return LoaderFactory.create(path).run(None)
+
+
+class BinaryRowsLoader(BasePipelineStep):
+    """A source registered by a user: files of one record each."""
+
+    name = "binary_rows"
+
+    def __init__(self, path):
+        self.path = str(path)
+
+    def _run(self, df: DataFrame) -> DataFrame:
+        files = SparkSession.active().read.format("binaryFile").load(self.path)
+        return files.select(F.col("content").cast("string").alias("line"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) || ' ' || n_name || chr(10) AS line FROM nation")
+def custom_source(spark, sf_dir):
+    register_loader(".record")(BinaryRowsLoader)
+    path = scratch_path(spark, "records") + ".record"
+    lines = load(spark, sf_dir, "nation").select("n_nationkey", F.concat_ws(" ", "n_nationkey", "n_name").alias("value"))
+    lines.repartition(25, "n_nationkey").write.partitionBy("n_nationkey").text(path)
+    return LoaderFactory.create(path).run(None)
+
+
+@query("SELECT * FROM (VALUES ('.csv', 'CSVLoader'), ('.json', 'JSONLoader'), ('.orc', 'ORCLoader'), ('.parquet', 'ParquetLoader')) t(extension, loader)")
+def loader_registry(spark, sf_dir):
+    known = LoaderFactory.registry()
+    rows = [(e, known[e]) for e in LoaderFactory.supported_extensions() if e in (".csv", ".json", ".orc", ".parquet")]
+    return spark.createDataFrame(rows, "extension string, loader string")
+
+
+@query("SELECT * FROM (VALUES (1, 10.0::DOUBLE, 0.1::DOUBLE), (2, 20.0::DOUBLE, 0.15::DOUBLE)) t(id, fare_amount, tip_pct)")
+def in_memory_source(spark, sf_dir):
+    source = RowsSource([(1, 10.0, 1.0), (2, 20.0, 3.0)], "id int, fare_amount double, tip_amount double")
+    return Pipeline([source, RatioStep("tip_amount", "fare_amount", "tip_pct"), DropColumnsStep(["tip_amount"])]).run(None)
+
+
 @query("SELECT * FROM customer")
 def parquet_multi_file(spark, sf_dir):
-    path = scratch(spark, "files")
+    path = scratch_path(spark, "files")
     load(spark, sf_dir, "customer").repartition(4, "c_custkey").write.parquet(path)
     return scan_parquet_files(path)
 
 
 @query("SELECT c_mktsegment, count(*) AS n_rows FROM customer GROUP BY 1")
 def parquet_partitioned(spark, sf_dir):
-    path = write_parquet(load(spark, sf_dir, "customer"), scratch(spark, "by-segment"), partition_by=["c_mktsegment"])
+    path = write_parquet(load(spark, sf_dir, "customer"), scratch_path(spark, "by-segment"), partition_by=["c_mktsegment"])
     return ParquetLoader(path).run(None).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("SELECT * FROM customer")
 def parquet_sink_roundtrip(spark, sf_dir):
-    return ParquetLoader(write_parquet(load(spark, sf_dir, "customer"), scratch(spark, "sink"))).run(None)
+    return ParquetLoader(write_parquet(load(spark, sf_dir, "customer"), scratch_path(spark, "sink"))).run(None)
 
 
 # Projections and expressions -----------------------------------------------------------------
@@ -338,9 +417,9 @@ def target_encode_nulls(spark, sf_dir):
     "SELECT o_orderpriority AS category, round((count(*) * avg(o_totalprice) + 10.0 * (SELECT avg(o_totalprice) FROM orders)) / (count(*) + 10.0), 6) AS encoding FROM orders GROUP BY 1"
 )
 def target_mapping(spark, sf_dir):
-    df = load(spark, sf_dir, "orders", ["o_orderpriority", "o_totalprice"])
-    mean = df.agg(F.avg("o_totalprice")).first()[0]
-    mapping = TargetEncodingStrategy().mapping(df, "o_orderpriority", "o_totalprice", mean)
+    strategy = TargetEncodingStrategy()
+    sums = strategy.sums(load(spark, sf_dir, "orders", ["o_orderpriority", "o_totalprice"]), "o_orderpriority", "o_totalprice")
+    mapping = strategy.mapping(sums, strategy.mean(sums))
     return mapping.withColumn("encoding", F.round("encoding", 6))
 
 
@@ -408,6 +487,182 @@ def alert_drop_ratio(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(alerts.alerts, 1)), "alert int, message string")
 
 
-@query()
+@query("SELECT count(*) AS n_rows, true AS same_after_reorder, true AS differs_after_edit, true AS differs_after_copy FROM orders")
 def content_fingerprint_orders(spark, sf_dir):
-    return content_fingerprint(load(spark, sf_dir, "orders"))
+    """Whether the fingerprint ignores row order, and sees one edited value and one row more."""
+    df = load(spark, sf_dir, "orders")
+    last = F.col("o_orderkey") == df.agg(F.max("o_orderkey")).scalar()
+    variants = {
+        "own": df,
+        "reordered": df.repartition(7, "o_custkey"),
+        "edited": df.withColumn("o_totalprice", F.when(last, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))),
+        "copied": df.union(df.where(last)),
+    }
+    prints = None
+    for name, frame in variants.items():
+        own = content_fingerprint(frame).select(F.lit(name).alias("of"), "n_rows", F.struct("n_rows", "hash_xor", "hash_sum", "schema").alias("print"))
+        prints = own if prints is None else prints.union(own)
+    one = lambda name, c="print": F.max(F.when(F.col("of") == name, F.col(c)))
+    return prints.agg(
+        one("own", "n_rows").alias("n_rows"),
+        (one("own") == one("reordered")).alias("same_after_reorder"),
+        (one("own") != one("edited")).alias("differs_after_edit"),
+        (one("own") != one("copied")).alias("differs_after_copy"),
+    )
+
+
+# Pipelines, caches, configuration, streams -----------------------------------------------------
+
+_SAFE_RATIO = "SELECT l_orderkey, l_linenumber, l_tax, l_discount, coalesce(l_tax / nullif(l_discount, 0), 0.0) AS tip_pct FROM lineitem"
+
+
+@query(_SAFE_RATIO)
+def pipeline_manifest(spark, sf_dir):
+    """The flagship saved as a manifest, loaded and run."""
+    columns = ["l_orderkey", "l_linenumber", "l_tax", "l_discount"]
+    with tempfile.TemporaryDirectory() as folder:  # a file of the driver's own
+        path = Path(folder, "deep", "pipeline.json")
+        Pipeline([ParquetLoader(f"{sf_dir}/lineitem.parquet", columns), RatioStep("l_tax", "l_discount", "tip_pct")]).save(path)
+        return Pipeline.load(path).run(None)
+
+
+@query(
+    "SELECT 'parquet_loader' AS step, CAST(NULL AS BIGINT) AS rows_in, count(*) AS rows_out FROM orders "
+    "UNION ALL SELECT 'function', count(*), count(*) FILTER (o_totalprice > 100000) FROM orders"
+)
+def pipeline_observed(spark, sf_dir):
+    """Row counts that ride on the first action."""
+    metrics = MetricsObserver()
+    steps = [ParquetLoader(f"{sf_dir}/orders.parquet", ["o_orderkey", "o_totalprice"]), FunctionStep(lambda df: df.where("o_totalprice > 100000"))]
+    pipeline = Pipeline(steps, metrics="observe")
+    pipeline.attach_observer(metrics)
+    pipeline.run(None).write.format("noop").mode("overwrite").save()
+    pipeline.flush(timeout=30)
+    return metrics.to_df(spark).select("step", "rows_in", "rows_out")
+
+
+@query(
+    f"SELECT {_KEEP}, coalesce(f, 0.0) AS o_orderpriority_freq FROM orders LEFT JOIN "
+    "(SELECT o_orderpriority AS k, count(*) / sum(count(*)) OVER () AS f FROM orders GROUP BY 1) ON o_orderpriority = k"
+)
+def encode_step(spark, sf_dir):
+    source = ParquetLoader(f"{sf_dir}/orders.parquet", _ORDER)
+    return Pipeline([source, EncodeStep(FrequencyEncodingStrategy(), "o_orderpriority")]).run(None)
+
+
+@query("SELECT 1 AS built, true AS same_frame, true AS evicted, count(*) AS n_rows FROM orders WHERE o_orderstatus = 'F'")
+def memoized(spark, sf_dir):
+    """A cache of one result: the second call is a hit, another frame evicts it."""
+    built = []
+
+    @memoize_dataframe(maxsize=1)
+    def finished(df):
+        built.append(df)
+        return df.where("o_orderstatus = 'F'")
+
+    first = finished(load(spark, sf_dir, "orders"))
+    same, n, calls = finished(load(spark, sf_dir, "orders")) is first, first.count(), len(built)
+    finished(load(spark, sf_dir, "orders", ["o_orderstatus"]))
+    evicted = not first.is_cached
+    finished.cache_clear()
+    return spark.createDataFrame([(calls, same, evicted, n)], "built int, same_frame boolean, evicted boolean, n_rows bigint")
+
+
+@query("SELECT 3 AS attempts, count(*) AS n_rows FROM region")
+def retried(spark, sf_dir):
+    attempts = []
+
+    @retry(max_attempts=3, backoff=0.01)
+    def flaky():
+        attempts.append(1)
+        if len(attempts) < 3:
+            raise OSError("not yet")
+        return load(spark, sf_dir, "region").count()
+
+    n = flaky()
+    return spark.createDataFrame([(len(attempts), n)], "attempts int, n_rows bigint")
+
+
+@query("SELECT * FROM (VALUES (1, 'INFO', '[identity] start rows_in=5'), (2, 'INFO', '[identity] done rows_out=5'), (3, 'INFO', '[function] start rows_in=5'), (4, 'ERROR', '[function] error')) t(line, level, message)")
+def log_file(spark, sf_dir):
+    """The lines that a run with a failing step leaves, without times and error texts."""
+
+    def fails(df):
+        raise ValueError("planned")
+
+    with tempfile.TemporaryDirectory() as folder:  # the log is a file of the driver's own
+        pipeline = Pipeline([IdentityStep(), FunctionStep(fails)], metrics="eager")
+        pipeline.attach_observer(LoggingObserver(Path(folder, "run.log")))
+        try:
+            pipeline.run(load(spark, sf_dir, "region"))
+        except ValueError:
+            pipeline.release()
+        lines = Path(folder, "run.log").read_text(encoding="utf-8").splitlines()
+    rows = [(i, *x.split(" | ")[1:]) for i, x in enumerate(lines, 1)]
+    cut = F.regexp_replace("message", r" duration_ms=.*|(?<=error) .*", "")
+    return spark.createDataFrame(rows, "line int, level string, message string").withColumn("message", cut)
+
+
+@query(
+    "SELECT * FROM (VALUES ('paths.raw_data', 'data/raw'), ('paths.processed_data', 'data/processed'), ('paths.features_data', 'data/features'), "
+    "('model.learning_rate', '0.05'), ('model.n_estimators', '500'), ('model.max_depth', '9'), ('model.objective', 'regression'), ('model.seed', '7'), "
+    "('pipeline.n_jobs', '-1'), ('pipeline.chunk_size', '2048'), ('same object', 'True'), ('arrow rows', '2048')) t(key, value)"
+)
+def config_values(spark, sf_dir):
+    """A YAML file over the defaults, read once."""
+    Config.reset()
+    with tempfile.TemporaryDirectory() as folder:
+        path = Path(folder, "config.yaml")
+        path.write_text("model: {max_depth: 9, seed: 7}\npipeline: {chunk_size: 2048}\n", encoding="utf-8")
+        config = Config(path)
+    values = {"paths": {k: str(getattr(config, f"{k}_path")) for k in DEFAULTS["paths"]}, "model": config.model, "pipeline": config.pipeline}
+    rows = [(f"{part}.{k}", str(v)) for part, own in values.items() for k, v in own.items()]
+    rows += [("same object", str(Config("elsewhere.yaml") is config)), ("arrow rows", session_conf(config)["spark.sql.execution.arrow.maxRecordsPerBatch"])]
+    Config.reset()
+    return spark.createDataFrame(rows, "key string, value string")
+
+
+@query(
+    "SELECT * FROM (VALUES ('fine', 'none'), ('rate below 0', 'ValueError'), ('rate above 1', 'ValueError'), ('few trees', 'ValueError'), "
+    "('unknown objective', 'ValueError'), ('depth no integer', 'TypeError'), ('no such column', 'KeyError'), ('no step', 'TypeError'), "
+    "('no frame', 'TypeError'), ('no target', 'ValueError'), ('not fitted', 'RuntimeError'), ('no file', 'FileNotFoundError'), ('unknown mode', 'ValueError')) t(attempt, error)"
+)
+def checked_errors(spark, sf_dir):
+    """Which error each breach of a contract raises, before any job runs."""
+    orders = load(spark, sf_dir, "orders")
+    attempts = {
+        "fine": lambda: ModelConfig(0.05, 200, "regression", 8),
+        "rate below 0": lambda: ModelConfig(-0.1, 200, "regression", 8),
+        "rate above 1": lambda: ModelConfig(1.1, 200, "regression", 8),
+        "few trees": lambda: ModelConfig(0.1, 5, "regression", 8),
+        "unknown objective": lambda: ModelConfig(0.1, 200, "clustering", 8),
+        "depth no integer": lambda: ModelConfig(0.1, 200, "regression", 4.5),
+        "no such column": lambda: OneHotStrategy().encode(orders, "nowhere"),
+        "no step": lambda: Pipeline(["step"]),
+        "no frame": lambda: Pipeline([IdentityStep()]).run("frame"),
+        "no target": lambda: TargetEncodingStrategy().fit(orders, "o_orderstatus"),
+        "not fitted": lambda: TargetEncodingStrategy().encode(orders, "o_orderstatus"),
+        "no file": lambda: LoaderFactory.create(f"{sf_dir}/nowhere.parquet"),
+        "unknown mode": lambda: Pipeline(metrics="sometimes"),
+    }
+    return spark.createDataFrame([(name, _error_of(f)) for name, f in attempts.items()], "attempt string, error string")
+
+
+def _error_of(attempt) -> str:
+    try:
+        attempt()
+    except Exception as error:  # noqa: BLE001 - its type is the result
+        return type(error).__name__
+    return "none"
+
+
+@query(_SAFE_RATIO)
+def stream_ratio(spark, sf_dir):
+    """The flagship over a stream of files, with its sink and checkpoint in the shared folder."""
+    table = load(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_tax", "l_discount"])
+    source = write_parquet(table, scratch_path(spark, "stream-in"))
+    stream = spark.readStream.schema(table.schema).parquet(source)
+    out = scratch_path(spark, "stream-out")
+    query = run_stream(Pipeline([RatioStep("l_tax", "l_discount", "tip_pct")]), stream, out, scratch_path(spark, "stream-state"))
+    query.awaitTermination()
+    return spark.read.parquet(out)
