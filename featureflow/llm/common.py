@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import os
 import re
 import tempfile
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+logger = logging.getLogger(__name__)
+
 #: ASCII white space of the contracts: blank and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,14 +65,22 @@ def discard(*tables: DataFrame | None) -> None:
             _LEFT[:] = [x for x in _LEFT if x[1] != path]
 
 
-#: Rows of one Arrow batch: texts are long, and a Python worker holds a batch or two.
-BATCH_ROWS = "1000"
+#: Rows and bytes of one Arrow batch: texts are long, and a Python worker holds a batch or two.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),  # Spark's default, and what is set in its place
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b"),
+}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once per application, and bound Arrow batches."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Send the package to the executors, once per application, and bound Arrow batches.
+
+    The session's batch settings are changed, and the change logged, only where they are Spark's defaults.
+    """
+    for key, (default, ours) in BATCH.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
+            logger.info("%s set to %s for this session", key, ours)
     context = spark.sparkContext
     if getattr(context, "_featureflow_shipped", False):
         return

@@ -95,7 +95,8 @@ def _ends(rows: DataFrame, seed: str) -> DataFrame:
     sums = sums.join(blocks, (F.col("source_no") == F.col("k_source")) & (F.col("block") == F.col("k_block")))
     sums = sums.select(F.col("source_no").alias("b_source"), F.col("bucket").alias("b_bucket"), (F.col("shift") + F.col("k_shift")).alias("b_shift"))
     rows = rows.withColumn("within", F.sum("size").over(upto("source_no", "bucket").orderBy("shuffle", "doc_id", "size")))
-    rows = rows.join(sums, (F.col("source_no") == F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
+    # Merged: the buckets grow with the rows, which are dealt by bucket already.
+    rows = rows.join(sums.hint("merge"), (F.col("source_no") == F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
     return rows.withColumn("end", F.col("b_shift") + F.col("within")).drop("b_source", "b_bucket", "b_shift", "bucket", "shuffle", "within")
 
 

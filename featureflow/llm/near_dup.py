@@ -54,6 +54,8 @@ AGREE = 2
 #: lies 4.7 standard deviations below.
 BITS = 2048
 NEAR_BITS = (1850, 1779)
+#: Texts with one k-mer in their prefixes that meet in one block.
+BLOCK_TEXTS = 1024
 #: Bands compared with leaders in one round; those from SKETCHES on are without order.
 ROUNDS = (range(0, 4), range(4, 2 * SKETCHES))
 SEED = 11
@@ -277,7 +279,8 @@ def near_classes(docs: DataFrame, names: list[Column] | None = None) -> DataFram
     places = nodes.select("node", "n", "repeats", F.posexplode("keys").alias("band", "key"))
     shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max((F.col("band") < SKETCHES) | F.col("repeats")).alias("asked"))
     shared = shared.where("size > 1 and asked").select(F.col("key").alias("s_key"))
-    buckets = stored(places.drop("repeats").join(shared, F.col("key") == F.col("s_key"), "left_semi"), "omh-buckets")
+    # Hashed, not sorted: the keys are unique, so no task's table grows with a hot one.
+    buckets = stored(places.drop("repeats").join(shared.hint("shuffle_hash"), F.col("key") == F.col("s_key"), "left_semi"), "omh-buckets")
     asked = buckets.select(F.col("node").alias("w")).distinct()
     known = stored(nodes.join(asked, F.col("node") == F.col("w"), "left_semi").select(F.col("node").alias("k_node"), "keys", "repeats"), "omh-known")
     # Copies are reduced to one text before the shuffle.
@@ -312,15 +315,18 @@ def near_classes(docs: DataFrame, names: list[Column] | None = None) -> DataFram
         discard(links, before)
 
     for bands in ROUNDS:
-        placed = _placed(buckets.where(F.col("band").isin(list(bands))), classes)
+        placed = stored(_placed(buckets.where(F.col("band").isin(list(bands))), classes), "omh-placed")
         heads = placed.groupBy("key").agg(
             F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "n", "part")).alias("head"), F.min("part").alias("lo"), F.max("part").alias("hi")
         )
-        heads = heads.where("lo <> hi").select(F.col("key").alias("h_key"), "head")
+        # Stored, so that the join reads both sides from shuffles, of which hot keys are split.
+        heads = stored(heads.where("lo <> hi").select(F.col("key").alias("h_key"), "head"), "omh-leaders")
         met = placed.join(heads, F.col("key") == F.col("h_key")).where((F.col("part") != F.col("head.part")) & _similar_size(F.col("n"), F.col("head.n")))
         compared(met.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")))
-    placed = _placed(buckets, classes)
+        discard(placed, heads)
+    placed = stored(_placed(buckets, classes), "omh-placed")
     mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(F.col("key").alias("h_key"))
+    mixed = stored(mixed, "omh-mixed")
     left = stored(placed.join(mixed, F.col("key") == F.col("h_key"), "left_semi").select("node", "n").distinct(), "omh-open")
     items, prefixes = _prefixes(left, texts)
     bits = None
@@ -333,12 +339,12 @@ def near_classes(docs: DataFrame, names: list[Column] | None = None) -> DataFram
             bits = stored(bits, "omh-bits")
         compared(_prefix_pairs(heads, bits, near))
         discard(heads)
-    discard(nodes, buckets, known, texts, left, items, prefixes, bits, *candidates)
+    discard(nodes, buckets, known, texts, placed, mixed, left, items, prefixes, bits, *candidates)
     own = ["doc_id", "w_file", "w_pos"]
     out = rows.select(*own, F.col("node").alias("o_node")).join(classes, F.col("o_node") == F.col("c_node"), "left")
     out = out.select(*own, F.coalesce("comp", "o_node").alias("part"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *own)).alias("w")
-    sizes = out.groupBy(F.col("part").alias("s_part")).agg(first, F.count(F.lit(1)).alias("class_size"))
+    sizes = stored(out.groupBy(F.col("part").alias("s_part")).agg(first, F.count(F.lit(1)).alias("class_size")), "omh-sizes")
     out = out.join(sizes, F.col("part") == F.col("s_part"))
     kept = (F.col("w_file") == F.col("w.w_file")) & (F.col("w_pos") == F.col("w.w_pos"))
     return out.select("doc_id", F.col("w.doc_id").alias("class_id"), "class_size", kept.alias("kept"), *(own[1:] if names else []))
@@ -369,18 +375,26 @@ def _prefixes(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def _mixed_heads(heads: DataFrame) -> DataFrame:
-    """Prefix rows whose id occurs in several components."""
-    mixed = heads.groupBy("id").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(F.col("id").alias("m_id"))
-    return stored(heads.join(mixed, F.col("id") == F.col("m_id"), "left_semi"), "omh-heads")
+    """Prefix rows whose id occurs in several components, and the number of blocks that its texts are cut into."""
+    mixed = heads.groupBy("id").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("texts")).where("lo <> hi")
+    mixed = stored(mixed.select(F.col("id").alias("m_id"), F.ceil(F.col("texts") / BLOCK_TEXTS).cast("int").alias("blocks")), "omh-mixed-ids")
+    return stored(heads.join(mixed, F.col("id") == F.col("m_id")).drop("m_id"), "omh-heads")
 
 
 def _prefix_pairs(heads: DataFrame, bits: DataFrame, near: int) -> DataFrame:
-    """Pairs (a, b) of nodes in different components that share an id and agree in ``near`` bits."""
+    """Pairs (a, b) of nodes in different components that share an id and agree in ``near`` bits.
+
+    Texts that share an id meet block by block, so that no task compares more than BLOCK_TEXTS of
+    them with as many others.
+    """
     own = heads.groupBy(F.col("node").alias("q_node")).agg(F.sort_array(F.collect_set("id")).alias("own"))  # one text's k-mers
     own = own.join(bits, F.col("q_node") == F.col("b_node")).drop("b_node")
     heads = heads.join(own, F.col("node") == F.col("q_node")).drop("q_node")
-    x, y = heads.alias("x"), heads.alias("y")
-    meet = (F.col("x.id") == F.col("y.id")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & _similar_size(F.col("x.n"), F.col("y.n"))
+    spot, others = F.pmod(F.xxhash64("node", "id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = heads.withColumn("i", spot).withColumn("j", others).alias("x")
+    y = heads.withColumn("j", spot).withColumn("i", others).alias("y")
+    meet = (F.col("x.id") == F.col("y.id")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    meet = meet & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & _similar_size(F.col("x.n"), F.col("y.n"))
     differ = F.lit(0)
     for i in range(BITS // 64):
         differ = differ + F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i]))

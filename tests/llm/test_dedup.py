@@ -1,7 +1,8 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 
 import numpy as np
 from helpers import SMALL, assert_same
@@ -234,3 +235,67 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def aligned(x, y):
+    """Longest common subsequence of two k-mer lists, over all their matches (no band)."""
+    places = defaultdict(list)
+    for j, k in enumerate(y):
+        places[k].append(j)
+    ends = []
+    for k in x:
+        for j in reversed(places.get(k, ())):
+            at = bisect_left(ends, j)
+            ends[at : at + 1] = [j]
+    return len(ends)
+
+
+def test_all_pairs_of_the_documents(spark):
+    """Every pair of sf0.1 by an inverted index and an alignment that share nothing with the operator."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    groups = defaultdict(list)
+    for r in docs.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        groups[r.text or ""].append((r.doc_id, [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []))
+    texts = [own[0][1] for own in groups.values()]
+    counts = [Counter(t) for t in texts]
+    index = defaultdict(list)
+    part = list(range(len(texts)))
+
+    def root(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    links = []
+    for i, own in enumerate(counts):
+        shared = Counter()
+        for k, n in own.items():
+            for j in index[k]:
+                shared[j] += min(n, counts[j][k])
+            index[k].append(i)
+        for j, n in shared.items():
+            if n >= 0.8 * (len(texts[i]) + len(texts[j]) - n) - 1e-9:
+                n = aligned(texts[i], texts[j])
+                if n >= 0.8 * (len(texts[i]) + len(texts[j]) - n) - 1e-9:
+                    links.append((i, j))
+                    part[root(i)] = root(j)
+    classes = defaultdict(list)
+    for i, own in enumerate(groups.values()):
+        classes[root(i) if texts[i] else -1] += [d for d, _ in own]
+    assert len(links) > 20
+    assert got_classes(near_classes(docs)) == {d: (min(own), len(own)) for own in classes.values() for d in own}
+
+
+def test_hot_prefix_ids_are_cut_into_blocks(make_docs, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_TEXTS", 3)
+    monkeypatch.setattr(near_dup, "ROUNDS", (range(0, 1),))  # leave the work to the prefixes
+    r = random.Random(31)
+    rows, n = [], 0
+    for size in (60, 60, 150):
+        t = text(r, size)
+        for k in range(25):
+            rows.append((n, t))
+            n += 1
+            t = edited(r, t, 1 + k % 3)
+    assert got_classes(near_classes(make_docs(rows))) == brute_classes(rows)
