@@ -6,7 +6,10 @@ range; each rule goes to the ranges its interval meets. In a range, one sweep ov
 sides keeps the stack of rule hosts whose intervals hold the current key; the longest path
 prefix is looked up in each, from the top of the stack down, and the longest rule wins.
 
-A range is a slice of (key, path, page_id), so a hot host, or one hot url, is cut over many.
+A range is a slice of (key, path, page_id), so a hot host, or one hot url, is cut over many. The
+bounds of at most ``MOST_RANGES`` ranges pass through the driver; a range of more than
+``RANGE_ROWS`` urls, on larger tables or where rows are alike in all three, is dealt in parts that
+are swept each on its own against the range's rules, so no task holds more.
 
 Defined cases: null urls and urls without ``://`` have an empty host and path and fall to the
 default verdict, as do urls without any rule; ``longest`` is the length of the rule's host plus
@@ -28,7 +31,7 @@ from .common import stored
 #: (host, path, verdict) of the contract.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 DEFAULT = "allow"
-#: Urls of one key range; at most MOST_RANGES ranges, whose bounds pass through the driver.
+#: Urls that one task sweeps, about; key ranges at most.
 RANGE_ROWS = 50_000
 MOST_RANGES = 4096
 _OUT = "page_id long, host string, path string, rule string, verdict string"
@@ -102,18 +105,22 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> D
     # Rows are counted from the page ids alone, before anything is dealt.
     ranges = min(MOST_RANGES, max(spark.sparkContext.defaultParallelism, -(-pages.select("page_id").count() // RANGE_ROWS)))
     dealt = keyed.repartitionByRange(ranges, "key", "path", "page_id").sortWithinPartitions("key", "path", "page_id")
-    dealt = stored(dealt.withColumn("cell", F.spark_partition_id()), "url-ranges")
-    bounds = dealt.groupBy("cell").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("cell")
-    cells = [(r["cell"], r["lo"], r["hi"]) for r in bounds.collect()]  # MOST_RANGES rows at most
+    dealt = stored(dealt.withColumn("cell", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "url-ranges")
+    bounds = dealt.groupBy("cell").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("n")).orderBy("cell")
+    cells = [(r["cell"], r["lo"], r["hi"], -(-r["n"] // (2 * RANGE_ROWS))) for r in bounds.collect()]  # about MOST_RANGES rows at most
     if not cells:
         return spark.createDataFrame([], _OUT)
-    table = F.array(*[F.struct(F.lit(c).alias("cell"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for c, lo, hi in cells])
+    names = ("cell", "lo", "hi", "parts")
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, c)]) for c in cells])
+    cut = F.broadcast(spark.createDataFrame([(c, parts) for c, _, _, parts in cells], "c_cell int, parts int"))
+    dealt = dealt.join(cut, F.col("cell") == F.col("c_cell")).withColumn("part", F.pmod("place", "parts").cast("int")).drop("c_cell", "parts", "place")
     ruled = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
     ruled = ruled.select(reversed_host(F.col("host")).alias("key"), "host", "path", "verdict").where("key <> ''").distinct()
     # The interval of a rule is [key, key with its last dot raised); ranges are sorted, so it meets a run of them.
     beyond = F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit("/"))
     met = F.filter(table, lambda c: (c["hi"] >= F.col("key")) & (c["lo"] < beyond))
-    ruled = ruled.select(F.explode(F.transform(met, lambda c: c["cell"])).alias("cell"), "key", "host", "path", "verdict")
+    ruled = ruled.select(F.explode(F.transform(met, lambda c: F.struct(c["cell"], c["parts"]))).alias("c"), "key", "host", "path", "verdict")
+    ruled = ruled.select(F.col("c.cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("c.parts") - 1)).alias("part"), "key", "host", "path", "verdict")
 
     def judge(urls: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         urls = urls.sort_values(["key", "path"], kind="stable") if len(urls) else urls
@@ -130,4 +137,4 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> D
             }
         )
 
-    return dealt.groupBy("cell").cogroup(ruled.groupBy("cell")).applyInPandas(judge, _OUT)
+    return dealt.groupBy("cell", "part").cogroup(ruled.groupBy("cell", "part")).applyInPandas(judge, _OUT)

@@ -11,7 +11,7 @@ import pytest
 from helpers import SMALL, assert_same
 from pyspark.sql import functions as F
 
-from featureflow.llm import ann, registry, sharding
+from featureflow.llm import ann, registry, sharding, url_filter
 from featureflow.llm.ann import nearest
 from featureflow.llm.html_extract import extract_text, hashed, main_text, parse
 from featureflow.llm.mixing import fair_queue, mixed_documents
@@ -58,6 +58,16 @@ def test_url_rules_against_brute_force(spark):
     assert filter_urls(pages.where("false"), table).count() == 0
 
 
+def test_url_ranges_are_cut_into_parts(spark, monkeypatch):
+    """Few and large ranges, rows alike in everything, and page_ids that are missing or repeated."""
+    monkeypatch.setattr(url_filter, "RANGE_ROWS", 10)
+    monkeypatch.setattr(url_filter, "MOST_RANGES", 3)
+    urls = ["http://a.example.org/es/x"] * 120 + [f"http://h{i % 9}.com/fr/{i}" for i in range(100)] + ["http://b.com/de/", "http://c.net/", None] * 5
+    rows = [(None if i < 60 else i % 50, u) for i, u in enumerate(urls)]
+    got = filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rule_table(spark, RULES)).collect()
+    assert Counter(tuple(x) for x in got) == Counter((i, *judged(u, list(RULES))) for i, u in rows)
+
+
 # HTML
 
 
