@@ -49,6 +49,8 @@ RECALL = 0.95
 WHOLE = 8192
 PART_ROWS = 4096
 QUERY_BLOCK = 4096
+#: Queries that one task sends to their leaves, about.
+SEARCHED = 256
 SEED = 7
 
 
@@ -199,7 +201,9 @@ def nearest(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL) ->
             out = pdf.iloc[at].reset_index(drop=True)
             yield pd.DataFrame({"cell": np.array(cell, np.int64), "query_id": out["query_id"], "embedding": out["embedding"]})
 
-    asked = queries.repartition(F.col("query_id")).mapInPandas(searched, "cell long, query_id long, embedding array<double>")
+    asking = queries.count()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-asking // SEARCHED))
+    asked = queries.repartition(tasks, "query_id").mapInPandas(searched, "cell long, query_id long, embedding array<double>")
     asked = stored(asked, "ann-asked")
     visits = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}  # one row per leaf
     cut = [(c, max(1, -(-int(counts[divmod(c, leaves)]) // PART_ROWS)), -(-n // QUERY_BLOCK)) for c, n in visits.items()]
@@ -257,5 +261,5 @@ def nearest(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL) ->
             out += [(qid, rank, i, s) for rank, (i, s) in enumerate(got.items(), 1)]
         return pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
 
-    parts = max(1, -(-queries.count() // 64))
+    parts = max(1, -(-asking // 64))
     return found.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")).applyInPandas(merged, schema)
