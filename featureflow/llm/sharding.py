@@ -16,7 +16,7 @@ value, then a hash that splits ties). One pass counts items and sums bytes by th
 bits of the key, for all open nodes and all dimensions at once, with partial aggregation; it tells
 the spread and the bin that holds the quantile. Only that bin is looked at again, until it weighs
 ``LOOSE`` of a shard or holds one item. Items are never rewritten: their node follows from the cuts, which
-are broadcast. The driver sees one row per open node and dimension, never more than three times
+are constants of the plan. The driver sees one row per open node and dimension, never more than three times
 the number of shards.
 
 Law: ``bytes`` (shard sizes near equal). Defined cases: a null text has no bytes and equals the
@@ -72,17 +72,31 @@ def laid_out(sizes: list[int], shards: int) -> list[int]:
     return out
 
 
+def _of(values: dict[int, tuple], level: int, **kinds: str) -> Column:
+    """The values of a row's node as a struct, NULL for nodes without them. The nodes of a level are 2^level and up."""
+    none = (None,) * len(kinds)
+    cells = [F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(values.get(n, none), kinds.items())]) for n in range(2**level, 2 ** (level + 1))]
+    return F.get(F.array(*cells), (F.col("node") - 2**level).cast("int"))
+
+
 def _noded(items: DataFrame, levels: list[dict[int, tuple[str, int]]]) -> DataFrame:
-    """Adds ``node``: each level of cuts {node: (dimension, first key of the right child)} sends items on."""
-    spark = items.sparkSession
-    items = items.withColumn("node", F.lit(1).cast("long"))
-    for cuts in levels:
-        rows = [(n, DIMENSIONS.index(d), edge) for n, (d, edge) in cuts.items()]
-        table = F.broadcast(spark.createDataFrame(rows, "c_node long, c_dim int, c_edge long"))  # fewer rows than shards
-        right = (F.element_at(F.array(*DIMENSIONS), F.col("c_dim") + 1) >= F.col("c_edge")).cast("long")
-        items = items.join(table, F.col("node") == F.col("c_node"), "left")
-        items = items.withColumn("node", F.when(F.col("c_node").isNull(), F.col("node")).otherwise(2 * F.col("node") + right)).drop("c_node", "c_dim", "c_edge")
-    return items
+    """Adds ``node``: each level of cuts {node: (dimension, first key of the right child)} sends items on.
+
+    The cuts are constants of the plan, fewer than the shards.
+    """
+    if not levels:
+        return items.withColumn("node", F.lit(1).cast("long"))
+
+    def cells(level: int, cuts: dict[int, tuple[str, int]]) -> Column:
+        found = [cuts.get(n) for n in range(2**level, 2 ** (level + 1))]
+        return F.array(*[F.struct(F.lit(c and DIMENSIONS.index(c[0])).cast("int").alias("dim"), F.lit(c and c[1]).cast("long").alias("edge")) for c in found])
+
+    def sent(node: Column, cut: Column) -> Column:
+        own = F.get(cut, (node - F.size(cut)).cast("int"))  # a level has as many places as its first node's number
+        right = F.get(F.array(*DIMENSIONS), own["dim"]) >= own["edge"]
+        return F.when(right.isNull(), node).otherwise(2 * node + right.cast("long"))
+
+    return items.withColumn("node", F.aggregate(F.array(*[cells(k, c) for k, c in enumerate(levels)]), F.lit(1).cast("long"), sent))
 
 
 def _running(value: str, *keys: str) -> Column:
@@ -91,7 +105,6 @@ def _running(value: str, *keys: str) -> Column:
 
 def kd_tree(items: DataFrame, room: list[float], loose: float = LOOSE) -> DataFrame:
     """Adds ``shard`` to items with bytes and the keys of DIMENSIONS; ``room`` has the bytes that each shard may take."""
-    spark = items.sparkSession
     open_nodes, leaves, levels = {1: (0, len(room))}, {}, []  # node -> (first shard, shards); the tree is kept on the driver
     near = loose * sum(room) / len(room)
     while True:
@@ -103,24 +116,23 @@ def kd_tree(items: DataFrame, room: list[float], loose: float = LOOSE) -> DataFr
         for n, (first, k) in open_nodes.items():
             left, whole = sum(room[first : first + k // 2]), sum(room[first : first + k])
             share[n] = left / whole if whole > 0 else (k // 2) / k
-        found = _quantiles(_noded(items, levels), share, near)
+        found = _quantiles(_noded(items, levels), len(levels), share, near)
         levels.append({n: found[n] for n in open_nodes if n in found})
         children = {}
         for n, (first, k) in open_nodes.items():
             if n in found:  # a node without items is dropped: its shards stay empty
                 children[2 * n], children[2 * n + 1] = (first, k // 2), (first + k // 2, k - k // 2)
         open_nodes = children
-    table = F.broadcast(spark.createDataFrame(list(leaves.items()), "l_node long, shard int"))  # one row per shard
-    return _noded(items, levels).join(table, F.col("node") == F.col("l_node")).drop("l_node", "node")
+    shard = F.create_map(*[F.lit(x) for pair in leaves.items() for x in pair])  # one entry per shard
+    return _noded(items, levels).withColumn("shard", F.element_at(shard, F.col("node").cast("int"))).drop("node")
 
 
-def _quantiles(items: DataFrame, share: dict[int, float], near: float) -> dict[int, tuple[str, int]]:
+def _quantiles(items: DataFrame, level: int, share: dict[int, float], near: float) -> dict[int, tuple[str, int]]:
     """Of each node in ``share`` that has items: its widest dimension, and the first key beyond its share of bytes."""
-    spark = items.sparkSession
     left = KEY_BITS - RADIX
-    asked = F.broadcast(spark.createDataFrame(list(share.items()), "a_node long, share double"))  # fewer rows than shards
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(d).alias("key")) for i, d in enumerate(DIMENSIONS)])).alias("k")
-    at = items.join(asked, F.col("node") == F.col("a_node")).select("node", "share", "bytes", pairs).select("node", "share", "bytes", "k.*")
+    at = items.withColumn("share", _of({n: (x,) for n, x in share.items()}, level, share="double")["share"]).where("share is not null")
+    at = at.select("node", "share", "bytes", pairs).select("node", "share", "bytes", "k.*")
     bins = at.groupBy("node", "dim", F.shiftright("key", left).alias("bin")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.first("share").alias("share"))
     whole = W.partitionBy("node", "dim")
     mean = F.sum(F.col("bin") * F.col("n")).over(whole) / F.sum("n").over(whole)
@@ -136,12 +148,11 @@ def _quantiles(items: DataFrame, share: dict[int, float], near: float) -> dict[i
         again = {n: o for n, o in state.items() if o["left"] > 0 and o["n"] > 1 and o["held"] > near}
         if not again:
             break
-        step = [(n, o["dim"], o["prefix"], o["left"], min(RADIX, o["left"]), float(o["want"])) for n, o in again.items()]
-        table = F.broadcast(spark.createDataFrame(step, "s_node long, s_dim int, s_prefix long, s_left int, s_step int, s_want double"))
-        key = F.element_at(F.array(*DIMENSIONS), F.col("s_dim") + 1)
-        inside = items.join(table, F.col("node") == F.col("s_node")).withColumn("key", key).where(F.expr("shiftright(key, s_left) = s_prefix"))
-        bins = inside.groupBy("node", F.expr("shiftright(key, s_left - s_step)").alias("bin"))
-        bins = bins.agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.first("s_want").alias("want")).withColumn("run", _running("bytes", "node"))
+        asked = {n: (o["dim"], o["prefix"], o["left"], min(RADIX, o["left"]), float(o["want"])) for n, o in again.items()}
+        inside = items.withColumn("s", _of(asked, level, dim="int", prefix="long", left="int", step="int", want="double")).where("s.dim is not null")
+        inside = inside.select("node", "bytes", "s", F.get(F.array(*DIMENSIONS), F.col("s.dim")).alias("key")).where(F.expr("shiftright(key, s.left) = s.prefix"))
+        bins = inside.groupBy("node", F.expr("shiftright(key, s.left - s.step)").alias("bin"))
+        bins = bins.agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.first("s.want").alias("want")).withColumn("run", _running("bytes", "node"))
         for r in bins.where(F.col("run") >= F.col("want")).groupBy("node").agg(F.min(F.struct("bin", "run", "bytes", "n")).alias("c")).collect():
             o, c = state[r["node"]], r["c"]
             o["want"] -= c["run"] - c["bytes"]
@@ -188,8 +199,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     for r, s in zip(heavy, homes):
         room[s] -= r["bytes"]
     placed = kd_tree(keyed(items.where(F.col("bytes") <= whole / HEAVY)), [max(0.0, x) for x in room]).select("a", "b", "o", "shard")
-    fixed = spark.createDataFrame([(r["a"], r["b"], r["o"], s) for r, s in zip(heavy, homes)], "a long, b long, o long, shard int")
-    placed = placed.unionByName(fixed).select(F.col("a").alias("p_a"), F.col("b").alias("p_b"), F.col("o").alias("p_o"), "shard")
+    fixed = ", ".join(f"({r['a']}L, {r['b']}L, {r['o']}L, {s})" for r, s in zip(heavy, homes))
+    if fixed:
+        placed = placed.unionByName(spark.sql(f"SELECT * FROM VALUES {fixed} AS t(a, b, o, shard)"))
+    placed = placed.select(F.col("a").alias("p_a"), F.col("b").alias("p_b"), F.col("o").alias("p_o"), "shard")
     same = (F.col("a") == F.col("p_a")) & (F.col("b") == F.col("p_b")) & (F.col("o") == F.col("p_o"))
     placed_rows = stored(rows.join(placed, same).select("doc_id", "size", "text_crc32", "shard"), "kd-rows")
     discard(raw, items)
