@@ -64,7 +64,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
-QUERIES = (op1_near_dup, op2_url_filter, op3_ann, op4_quality, op5_mixing, op6_language_id, op7_exact_dedup, op8_bpe, op9_html_extract, op10_sharding)
+# What SQL can say about operators whose whole result it cannot express.
+
+
+def near_dup_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document, the equal texts in its class: op1 may not separate copies."""
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("d_id"), digest)
+    placed = op1_near_dup(spark, sf_dir).join(docs, F.col("doc_id") == F.col("d_id"))
+    sizes = placed.groupBy(F.col("class_id").alias("s_class"), F.col("digest").alias("s_digest")).agg(F.count(F.lit(1)).alias("copies_in_class"))
+    return placed.join(sizes, (F.col("class_id") == F.col("s_class")) & (F.col("digest") == F.col("s_digest"))).select("doc_id", "copies_in_class")
+
+
+def ann_small_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranks of op3 alone; tables of up to 8192 vectors, as the one checked, are searched whole."""
+    return op3_ann(spark, sf_dir).select("query_id", "rank", "vec_id")
+
+
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8 decodes is the text, and only empty texts have no ids."""
+    return op8_bpe(spark, sf_dir).select("doc_id", (F.col("n_tokens") == 0).alias("no_tokens"), "decoded_sha256")
+
+
+def sharding_sizes_and_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of op10, and whether the slots of the row's shard run from 0 without a gap."""
+    rows = op10_sharding(spark, sf_dir)
+    slots = rows.groupBy(F.col("shard").alias("s_shard")).agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.sum("slot").alias("total"))
+    gapless = (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("total") * 2 == F.col("n") * F.col("hi"))
+    rows = rows.join(slots, F.col("shard") == F.col("s_shard"))
+    return rows.select("doc_id", "size", "law", ((F.col("shard") >= 0) & (F.col("shard") < 40)).alias("known_shard"), gapless.alias("gapless"))
+
+
+QUERIES = (
+    op1_near_dup, op2_url_filter, op3_ann, op4_quality, op5_mixing, op6_language_id, op7_exact_dedup, op8_bpe, op9_html_extract, op10_sharding,
+    near_dup_exact_copies, ann_small_table, bpe_round_trip, sharding_sizes_and_slots,
+)
 
 
 _OP2 = r"""
@@ -124,5 +158,31 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+_COPIES = "SELECT doc_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS copies_in_class FROM documents"
+
+_RANKS = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), ranked AS (
+  SELECT q.vec_id AS query_id, c.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS rank
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank::INT AS rank, vec_id FROM ranked WHERE rank <= 20
+"""
+
+_ROUND_TRIP = "SELECT doc_id, coalesce(text, '') = '' AS no_tokens, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"
+
+_SLOTS = "SELECT doc_id, (coalesce(strlen(text), 0) + 16)::BIGINT AS size, 'bytes' AS law, true AS known_shard, true AS gapless FROM documents"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _OP2, "op5_mixing": _OP5, "op7_exact_dedup": _OP7}
+    return {
+        "op2_url_filter": _OP2,
+        "op5_mixing": _OP5,
+        "op7_exact_dedup": _OP7,
+        "near_dup_exact_copies": _COPIES,
+        "ann_small_table": _RANKS,
+        "bpe_round_trip": _ROUND_TRIP,
+        "sharding_sizes_and_slots": _SLOTS,
+    }

@@ -21,7 +21,7 @@ from featureflow.llm.url_filter import RULES, filter_urls, rule_table
 ORACLES = registry.oracle_sql()
 
 
-@pytest.mark.parametrize("name", ["op2_url_filter", "op5_mixing"])
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - {"op7_exact_dedup"}))
 def test_query_agrees_with_duckdb(spark, name):
     assert_same(registry.queries()[name](spark, SMALL), SMALL, ORACLES[name])
 
