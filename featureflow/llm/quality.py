@@ -32,6 +32,7 @@ ROWS_PER_LABEL = 1000
 EMBED, FILTERS, WIDTH = 6, 32, 8
 PAIR_EMBED, PAIRS, LAGS, SPAN, HOP = 8, 8, 24, 64, 16
 CHUNK = 2048
+PAIR_CHUNK = 128
 EPOCHS, BATCH, RATE = 8, 16, 0.02
 THRESHOLD = 0.7
 SEED = 20240229
@@ -52,38 +53,43 @@ class Net:
         self.constant: float | None = None
 
     def windows(self, raw: np.ndarray):
-        """(first window, values [window, filter]) of each chunk of ``raw``, WIDTH bytes at least."""
+        """(first window, values [filter, window]) of each chunk of ``raw``, WIDTH bytes at least."""
         for first in range(0, len(raw) - WIDTH + 1, CHUNK):
             count = min(CHUNK, len(raw) - WIDTH + 1 - first)
-            own = self.p["embed"][raw[first : first + count + WIDTH - 1]]
-            yield first, np.lib.stride_tricks.as_strided(own, (count, WIDTH * EMBED), (EMBED * 4, 4)) @ self.p["filter"]
+            own = self.p["embed"].take(raw[first : first + count + WIDTH - 1], axis=0)
+            yield first, self.p["filter"].T @ np.lib.stride_tricks.as_strided(own, (count, WIDTH * EMBED), (EMBED * 4, 4)).T
 
     def spans(self, raw: np.ndarray):
-        """(first span, values [span, pair filter]) of each chunk; spans begin every HOP bytes."""
-        alike = (self.p["pair_embed"] @ self.p["pair_embed"].T).ravel()
+        """(first span, values [pair filter, span]) of each chunk; spans begin every HOP bytes."""
+        alike = np.zeros((257, 257), np.float32)  # 256 stands beyond the end and is like nothing
+        alike[:256, :256] = self.p["pair_embed"] @ self.p["pair_embed"].T
+        mean = np.full(HOP, 1 / SPAN, np.float32)
         total = max(1, -(-(len(raw) - SPAN) // HOP) + 1)
-        for first in range(0, total, CHUNK):
-            count = min(CHUNK, total - first)
-            own = raw[first * HOP : (first + count - 1) * HOP + SPAN + LAGS].astype(np.int32)
-            sums = np.zeros((LAGS, (count - 1) + SPAN // HOP), np.float32)
-            for k in range(1, LAGS + 1):
-                pairs = alike[own[:-k] * 256 + own[k:]][: sums.shape[1] * HOP]
-                whole = len(pairs) // HOP
-                sums[k - 1, :whole] = pairs[: whole * HOP].reshape(-1, HOP).sum(axis=1)
-                if whole < sums.shape[1]:
-                    sums[k - 1, whole] = pairs[whole * HOP :].sum()
-            near = sum(sums[:, j : j + count] for j in range(SPAN // HOP)) / SPAN
-            yield first, near.T @ self.p["pair_filter"]
+        raw = np.concatenate([raw, np.full((total - 1) * HOP + SPAN + LAGS - len(raw), 256)])
+        for first in range(0, total, PAIR_CHUNK):
+            count = min(PAIR_CHUNK, total - first)
+            size = (count - 1) * HOP + SPAN
+            own = raw[first * HOP : first * HOP + size + LAGS]
+            pairs = own[:size] * 257 + np.lib.stride_tricks.sliding_window_view(own[1:], size)
+            sums = (alike.take(pairs, mode="clip").reshape(-1, HOP) @ mean).reshape(LAGS, -1)
+            near = sum(sums[:, k : k + count] for k in range(SPAN // HOP))
+            yield first, self.p["pair_filter"].T @ near
+
+    def tops(self, raw: np.ndarray) -> np.ndarray:
+        """Max of each filter over all windows or spans."""
+        raw = padded(raw)
+        best = [np.max([value.max(axis=1) for _, value in part], axis=0) for part in (self.windows(raw), self.spans(raw))]
+        return np.concatenate(best) + self.p["shift"]
 
     def pooled(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Max of each filter over all windows or spans, and the window or span that won."""
+        """The same, and the window or span that won."""
         raw = padded(raw)
         best = np.full(FILTERS + PAIRS, -np.inf, np.float32)
         won = np.zeros(FILTERS + PAIRS, np.int64)
         for part, found in ((slice(0, FILTERS), self.windows(raw)), (slice(FILTERS, None), self.spans(raw))):
             for first, value in found:
-                at = value.argmax(axis=0)
-                top = value[at, np.arange(value.shape[1])]
+                at = value.argmax(axis=1)
+                top = value[np.arange(len(value)), at]
                 better = top > best[part]
                 best[part][better], won[part][better] = top[better], first + at[better]
         return best + self.p["shift"], won
@@ -91,7 +97,7 @@ class Net:
     def score(self, raw: np.ndarray) -> float:
         if self.constant is not None:
             return self.constant
-        return float(_sigmoid(np.maximum(self.pooled(raw)[0], 0) @ self.p["out"] + self.p["bias"][0]))
+        return float(_sigmoid(np.maximum(self.tops(raw), 0) @ self.p["out"] + self.p["bias"][0]))
 
 
 def _sigmoid(z):

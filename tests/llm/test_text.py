@@ -168,10 +168,12 @@ def slow_score(net, text):
 
 def test_score_against_a_written_out_network(monkeypatch):
     monkeypatch.setattr(quality, "CHUNK", 16)  # many chunks
+    monkeypatch.setattr(quality, "PAIR_CHUNK", 3)
     r = random.Random(1)
     net = train([("clean words and more of them " * 5, 1), ("$$$ ### !!! $$$ ###" * 5, 0)] * 8, epochs=2)
     for text in (None, "", "a", "short é", *("".join(r.choice("abcde fgß$") for _ in range(n)) for n in (7, 8, 9, 63, 64, 65, 79, 80, 81, 87, 88, 89, 300, 700))):
         assert abs(net.score(raw_bytes(text)) - slow_score(net, text)) < 1e-4
+        np.testing.assert_allclose(net.pooled(raw_bytes(text))[0], net.tops(raw_bytes(text)), atol=1e-6)
 
 
 def test_gradient_against_differences():
