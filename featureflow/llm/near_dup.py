@@ -19,8 +19,8 @@ still holds several components. What is left in the end, members of buckets with
 components, goes through an exact prefix filter: of two texts as similar as asked, the rarest
 fifth of their k-mers (counted over all that is left) must have one in common. A text whose own
 k-mers fill its fifth has no partner and makes no pair, which is what keeps large families of
-copies of copies from being compared with each other. Pairs that also agree in ``AGREE``
-sketches and in enough of ``BITS`` one-bit minima are verified, first the pairs that look
+copies of copies from being compared with each other. Pairs that also agree in enough of
+``BITS`` one-bit minima and in ``AGREE`` sketches are verified, first the pairs that look
 linked and then, between what is still apart, all that may be. A pair at the threshold meets
 all this with a probability of 0.9999 or more, whatever the number of texts.
 
@@ -55,7 +55,9 @@ AGREE = 2
 BITS = 2048
 NEAR_BITS = (1850, 1779)
 #: Texts with one k-mer in their prefixes that meet in one block.
-BLOCK_TEXTS = 1024
+BLOCK_TEXTS = 4096
+#: Smallest ids of a text that travel with it, so that pairs come out once.
+FIRST_IDS = 64
 #: Bands compared with leaders in one round; those from SKETCHES on are without order.
 ROUNDS = (range(0, 4), range(4, 2 * SKETCHES))
 SEED = 11
@@ -310,12 +312,16 @@ def near_classes(docs: DataFrame, names: list[Column] | None = None) -> DataFram
         pairs = stored(pairs, "omh-candidates")
         tested = pairs if tested is None else tested.union(pairs)
         candidates.append(pairs)
-        links, before = verified(pairs), classes
-        classes = _joined(classes, links)
-        discard(links, before)
+        if pairs.isEmpty():
+            return
+        links = verified(pairs)
+        if not links.isEmpty():
+            before, classes = classes, _joined(classes, links)
+            discard(before)
+        discard(links)
 
     for bands in ROUNDS:
-        placed = stored(_placed(buckets.where(F.col("band").isin(list(bands))), classes), "omh-placed")
+        placed = _placed(buckets.where(F.col("band").isin(list(bands))), classes)
         heads = placed.groupBy("key").agg(
             F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "n", "part")).alias("head"), F.min("part").alias("lo"), F.max("part").alias("hi")
         )
@@ -323,8 +329,8 @@ def near_classes(docs: DataFrame, names: list[Column] | None = None) -> DataFram
         heads = stored(heads.where("lo <> hi").select(F.col("key").alias("h_key"), "head"), "omh-leaders")
         met = placed.join(heads, F.col("key") == F.col("h_key")).where((F.col("part") != F.col("head.part")) & _similar_size(F.col("n"), F.col("head.n")))
         compared(met.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")))
-        discard(placed, heads)
-    placed = stored(_placed(buckets, classes), "omh-placed")
+        discard(heads)
+    placed = _placed(buckets, classes)
     mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(F.col("key").alias("h_key"))
     mixed = stored(mixed, "omh-mixed")
     left = stored(placed.join(mixed, F.col("key") == F.col("h_key"), "left_semi").select("node", "n").distinct(), "omh-open")
@@ -335,14 +341,12 @@ def near_classes(docs: DataFrame, names: list[Column] | None = None) -> DataFram
         if bits is None:  # components only grow, so later rounds ask for no other node
             nodes_left = heads.select(F.col("node").alias("q_node")).distinct()
             bits = items.join(nodes_left, F.col("i_node") == F.col("q_node"), "left_semi")
-            bits = bits.mapInPandas(_bits, "b_node binary, bits array<long>").join(known, F.col("b_node") == F.col("k_node")).drop("k_node")
-            bits = stored(bits, "omh-bits")
+            bits = stored(bits.mapInPandas(_bits, "b_node binary, bits array<long>"), "omh-bits")
         compared(_prefix_pairs(heads, bits, near))
         discard(heads)
-    discard(nodes, buckets, known, texts, placed, mixed, left, items, prefixes, bits, *candidates)
+    discard(nodes, buckets, known, texts, mixed, left, items, prefixes, bits, *candidates)
     own = ["doc_id", "w_file", "w_pos"]
-    out = rows.select(*own, F.col("node").alias("o_node")).join(classes, F.col("o_node") == F.col("c_node"), "left")
-    out = out.select(*own, F.coalesce("comp", "o_node").alias("part"))
+    out = _placed(rows.select(*own, "node"), classes).select(*own, "part")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *own)).alias("w")
     sizes = stored(out.groupBy(F.col("part").alias("s_part")).agg(first, F.count(F.lit(1)).alias("class_size")), "omh-sizes")
     out = out.join(sizes, F.col("part") == F.col("s_part"))
@@ -387,7 +391,7 @@ def _prefix_pairs(heads: DataFrame, bits: DataFrame, near: int) -> DataFrame:
     Texts that share an id meet block by block, so that no task compares more than BLOCK_TEXTS of
     them with as many others.
     """
-    own = heads.groupBy(F.col("node").alias("q_node")).agg(F.sort_array(F.collect_set("id")).alias("own"))  # one text's k-mers
+    own = heads.groupBy(F.col("node").alias("q_node")).agg(F.slice(F.sort_array(F.collect_set("id")), 1, FIRST_IDS).alias("own"))  # one text's k-mers
     own = own.join(bits, F.col("q_node") == F.col("b_node")).drop("b_node")
     heads = heads.join(own, F.col("node") == F.col("q_node")).drop("q_node")
     spot, others = F.pmod(F.xxhash64("node", "id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -397,9 +401,11 @@ def _prefix_pairs(heads: DataFrame, bits: DataFrame, near: int) -> DataFrame:
     meet = meet & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & _similar_size(F.col("x.n"), F.col("y.n"))
     differ = F.lit(0)
     for i in range(BITS // 64):
-        differ = differ + F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i]))
-    first = F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.id")  # each pair once
-    meet = meet & (differ <= BITS - near) & (_agree("x.keys", "y.keys", F.col("x.repeats") | F.col("y.repeats")) >= AGREE) & first
+        # get() has no bounds error to raise, which keeps the compiled condition small enough to stay compiled.
+        differ = differ + F.bit_count(F.get("x.bits", F.lit(i)).bitwiseXOR(F.get("y.bits", F.lit(i))))
+    # A pair that shares any of the smallest ids of both comes out once, at the smallest it shares.
+    first = F.array_min(F.array_intersect("x.own", "y.own"))
+    meet = meet & (differ <= BITS - near) & (F.col("x.id") == F.coalesce(first, F.col("x.id")))
     return x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
