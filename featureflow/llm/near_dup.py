@@ -399,10 +399,9 @@ def _prefix_pairs(heads: DataFrame, bits: DataFrame, near: int) -> DataFrame:
     y = heads.withColumn("j", spot).withColumn("i", others).alias("y")
     meet = (F.col("x.id") == F.col("y.id")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     meet = meet & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & _similar_size(F.col("x.n"), F.col("y.n"))
-    differ = F.lit(0)
-    for i in range(BITS // 64):
-        # get() has no bounds error to raise, which keeps the compiled condition small enough to stay compiled.
-        differ = differ + F.bit_count(F.get("x.bits", F.lit(i)).bitwiseXOR(F.get("y.bits", F.lit(i))))
+    # Folded, not written out as 32 terms: the compiled condition of a join is only fast while it is small.
+    apart = F.zip_with("x.bits", "y.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    differ = F.aggregate(apart, F.lit(0), lambda total, n: total + n)
     # A pair that shares any of the smallest ids of both comes out once, at the smallest it shares.
     first = F.array_min(F.array_intersect("x.own", "y.own"))
     meet = meet & (differ <= BITS - near) & (F.col("x.id") == F.coalesce(first, F.col("x.id")))
