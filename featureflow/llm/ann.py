@@ -10,7 +10,8 @@ then reranked exactly, in double precision.
 The cuts are fitted on at most ``SAMPLE`` distinct vectors (lowest hash first); every vector is
 indexed. The number of rows a query visits is a share of all, found on the same sample:
 the share at which ``RECALL`` of the sample's true neighbours are reached. A table of up to
-``WHOLE`` distinct vectors is one leaf and searched whole. Equal vectors are indexed once, with
+``WHOLE`` distinct vectors is one leaf and searched whole; a recall of 1 asks for that, and so for the
+exact result, at every size. A score is summed in the order of the components. Equal vectors are indexed once, with
 their k + 1 smallest ids (no query can return more of them).
 
 Each vector is stored once per tree. Queries are sent to the leaves they visit, and work is dealt
@@ -153,14 +154,17 @@ def fitted(points: DataFrame, k: int = K, recall: float = RECALL) -> tuple[Fores
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     total, top = points.agg(F.count(F.lit(1)), F.max(norm)).first()
     sample = _matrix([r["embedding"] for r in points.orderBy(F.xxhash64("embedding")).limit(SAMPLE).collect()])
-    depth = 0 if total <= WHOLE else int(np.ceil(np.log2(total / LEAF_ROWS)))
+    depth = 0 if total <= WHOLE or recall >= 1 else int(np.ceil(np.log2(total / LEAF_ROWS)))
     depth = min(depth, max(0, int(np.log2(max(1, len(sample) / 8)))))
     forest = Forest(sample, float(top), depth, TREES if depth else 1)
     return forest, visited_share(forest, sample, k, recall) if depth else 1.0
 
 
 def nearest(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for every row that meets ``is_query``."""
+    """query_id, rank, vec_id, score: the k nearest found for every row that meets ``is_query``.
+
+    With a ``recall`` of 1 all rows are searched and the result is exact.
+    """
     spark = vectors.sparkSession
     rows = stored(usable(vectors), "ann-rows")
     schema = "query_id long, rank int, vec_id long, score double"
@@ -231,7 +235,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL) ->
                 edge -= 1e-9 * size * np.sqrt((q * q).sum(axis=1))
                 for i, qid in enumerate(part["query_id"]):
                     near = np.flatnonzero(rough[i] >= edge[i])
-                    score = (x[near] * q[i]).sum(axis=1)
+                    score = (x[near] * q[i]).cumsum(axis=1)[:, -1]  # one after the other: sum() rounds in another order
                     ids, values = [], []
                     for j in np.lexsort((firsts[near], -score)):
                         own = [int(o) for o in owners[near[j]] if o != qid]

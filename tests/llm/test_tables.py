@@ -415,6 +415,23 @@ def test_nearest_is_exact_when_all_is_visited(spark):
         assert found == brute_nearest(ids, x, q, 20)
 
 
+def test_ranks_agree_with_duckdb_beyond_one_leaf(spark, monkeypatch):
+    monkeypatch.setattr(ann, "WHOLE", 0)
+    monkeypatch.setattr(ann, "LEAF_ROWS", 64)
+    monkeypatch.setattr(ann, "PART_ROWS", 300)
+    sf_dir = "/root/testdata/sf0.1"
+    assert_same(registry.ann_small_table(spark, sf_dir), sf_dir, ORACLES["ann_small_table"])
+
+
+def test_ranks_of_scores_that_differ_by_rounding(spark, tmp_path):
+    r = np.random.default_rng(3)
+    x = r.normal(size=64)
+    rows = [(i, [1.0] * 64 if i == 0 else r.permutation(x).tolist()) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/parts")
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    assert_same(registry.ann_small_table(spark, str(tmp_path)), str(tmp_path), ORACLES["ann_small_table"])
+
+
 def test_nearest_bad_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [2.0, 1.0]), (1, None), (2, []), (3, [0.0, -0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (8, [-1.0, 5.0]), (8, [-1.0, 5.0])]
