@@ -24,7 +24,9 @@ copies of copies from being compared with each other. Pairs that also agree in e
 linked and then, between what is still apart, all that may be. A pair at the threshold meets
 all this with a probability of 0.9999 or more, whatever the number of texts.
 
-The texts of nodes that share a bucket are gathered once; all rounds verify from that table.
+The texts of nodes that share a bucket are gathered once; all rounds verify from that table. Before
+texts, k-mers or keys are shuffled, rows that meet nothing are left out by a table of ``SLOTS`` bits
+that every task gets (:func:`_thinned`): it lets through all that is asked for, and by chance some more.
 
 Defined cases: null texts and texts without words are duplicates of one another; texts of fewer than
 five words have one k-mer, all their words; very long texts are read whole; class_id is the
@@ -60,6 +62,8 @@ BLOCK_TEXTS = 4096
 FIRST_IDS = 64
 #: Bands compared with leaders in one round; those from SKETCHES on are without order.
 ROUNDS = (range(0, 4), range(4, 2 * SKETCHES))
+#: Bits of the table that thins rows out, a power of 2; 64 of them are one row of it.
+SLOTS = 2**24
 SEED = 11
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -279,14 +283,17 @@ def near_classes(docs: DataFrame, names: list[Column] | None = None) -> DataFram
     rows = stored(numbered.mapInPandas(_sketched, "doc_id long, w_file long, w_pos long, node binary, n int, keys array<long>, repeats boolean"), "omh")
     nodes = stored(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("repeats").alias("repeats")), "omh-nodes")
     places = nodes.select("node", "n", "repeats", F.posexplode("keys").alias("band", "key"))
+    # Of the keys without order, those that a text with repeats may have.
+    loose = nodes.where("repeats").select(F.explode(F.slice("keys", SKETCHES + 1, SKETCHES)).alias("key"))
+    places = _thinned(places, "key", loose, unless=(F.col("band") < SKETCHES) | F.col("repeats"))
     shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max((F.col("band") < SKETCHES) | F.col("repeats")).alias("asked"))
     shared = shared.where("size > 1 and asked").select(F.col("key").alias("s_key"))
     # Hashed, not sorted: the keys are unique, so no task's table grows with a hot one.
     buckets = stored(places.drop("repeats").join(shared.hint("shuffle_hash"), F.col("key") == F.col("s_key"), "left_semi"), "omh-buckets")
     asked = buckets.select(F.col("node").alias("w")).distinct()
-    known = stored(nodes.join(asked, F.col("node") == F.col("w"), "left_semi").select(F.col("node").alias("k_node"), "keys", "repeats"), "omh-known")
-    # Copies are reduced to one text before the shuffle.
-    texts = picked.groupBy(F.col("node").alias("t_node")).agg(F.first("text").alias("text"))
+    known = stored(_thinned(nodes, "node", buckets).select(F.col("node").alias("k_node"), "keys", "repeats"), "omh-known")
+    # Texts that are not asked for are left out, and copies reduced to one text, before the shuffle.
+    texts = _thinned(picked, "node", buckets).groupBy(F.col("node").alias("t_node")).agg(F.first("text").alias("text"))
     texts = stored(texts.join(asked, F.col("t_node") == F.col("w"), "left_semi"), "omh-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -294,10 +301,13 @@ def near_classes(docs: DataFrame, names: list[Column] | None = None) -> DataFram
         for side in ("a", "b"):
             own = known.select("k_node", F.col("keys").alias(f"{side}_keys"), F.col("repeats").alias(f"{side}_repeats"))
             pairs = pairs.join(own, F.col(side) == F.col("k_node")).drop("k_node")
-        pairs = pairs.where(_agree("a_keys", "b_keys", F.col("a_repeats") | F.col("b_repeats")) >= AGREE).select("a", "b")
-        full = pairs.join(texts.withColumnRenamed("text", "a_text"), F.col("a") == F.col("t_node")).drop("t_node")
-        full = full.join(texts.withColumnRenamed("text", "b_text"), F.col("b") == F.col("t_node")).drop("t_node")
-        return stored(full.mapInPandas(_verified, "a binary, b binary"), "omh-links")
+        pairs = stored(pairs.where(_agree("a_keys", "b_keys", F.col("a_repeats") | F.col("b_repeats")) >= AGREE).select("a", "b"), "omh-agreeing")
+        own = _thinned(texts, "t_node", pairs.select(F.col("a").alias("t_node")).union(pairs.select("b")))
+        full = pairs.join(own.withColumnRenamed("text", "a_text"), F.col("a") == F.col("t_node")).drop("t_node")
+        full = full.join(own.withColumnRenamed("text", "b_text"), F.col("b") == F.col("t_node")).drop("t_node")
+        links = stored(full.mapInPandas(_verified, "a binary, b binary"), "omh-links")
+        discard(pairs)
+        return links
 
     classes = None  # node -> component, for nodes with links
     tested = None
@@ -339,8 +349,7 @@ def near_classes(docs: DataFrame, names: list[Column] | None = None) -> DataFram
     for near in NEAR_BITS:
         heads = _mixed_heads(_placed(prefixes, classes))
         if bits is None:  # components only grow, so later rounds ask for no other node
-            nodes_left = heads.select(F.col("node").alias("q_node")).distinct()
-            bits = items.join(nodes_left, F.col("i_node") == F.col("q_node"), "left_semi")
+            bits = _thinned(items, "i_node", heads.select(F.col("node").alias("i_node")))
             bits = stored(bits.mapInPandas(_bits, "b_node binary, bits array<long>"), "omh-bits")
         compared(_prefix_pairs(heads, bits, near))
         discard(heads)
@@ -354,6 +363,19 @@ def near_classes(docs: DataFrame, names: list[Column] | None = None) -> DataFram
     return out.select("doc_id", F.col("w.doc_id").alias("class_id"), "class_size", kept.alias("kept"), *(own[1:] if names else []))
 
 
+def _thinned(rows: DataFrame, column: str, wanted: DataFrame, unless: Column | None = None) -> DataFrame:
+    """The rows whose ``column`` is in that of ``wanted`` (or that meet ``unless``), and by chance some others.
+
+    Values are hashed to SLOTS bits; the bits that are set come to every task as at most SLOTS / 64 rows.
+    """
+    slot = F.xxhash64(column).bitwiseAND(F.lit(SLOTS - 1))
+    word, bit = F.shiftright(slot, 6), F.expr("shiftleft(1L, cast(w_slot & 63 as int))")
+    held = wanted.select(slot.alias("w_slot")).groupBy(F.shiftright("w_slot", 6).alias("w_word")).agg(F.bit_or(bit).alias("w_bits"))
+    found = rows.withColumn("w_slot", slot).join(F.broadcast(held), word == F.col("w_word"), "inner" if unless is None else "left")
+    there = F.coalesce(F.col("w_bits"), F.lit(0)).bitwiseAND(bit) != 0
+    return found.where(there if unless is None else unless | there).select(*rows.columns)
+
+
 def _placed(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
     """Adds the component of each node as ``part``."""
     if classes is None:
@@ -366,7 +388,7 @@ def _prefixes(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]
 
     A prefix is the first n - ceil(0.8 n) + 1 k-mers in the order of (texts that hold it, k-mer).
     """
-    own = texts.join(nodes, F.col("t_node") == F.col("node"), "left_semi")
+    own = _thinned(texts, "t_node", nodes.select(F.col("node").alias("t_node")))  # texts let through by chance count in df alone
     items = stored(own.mapInPandas(_kmer_ids, "i_node binary, ids array<long>"), "omh-kmers")
     rows = items.select("i_node", F.explode("ids").alias("id"))
     common = rows.groupBy("id").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumnRenamed("id", "c_id")
@@ -391,13 +413,11 @@ def _prefix_pairs(heads: DataFrame, bits: DataFrame, near: int) -> DataFrame:
     Texts that share an id meet block by block, so that no task compares more than BLOCK_TEXTS of
     them with as many others.
     """
+    cut = not heads.where("blocks > 1").isEmpty()
     own = heads.groupBy(F.col("node").alias("q_node")).agg(F.slice(F.sort_array(F.collect_set("id")), 1, FIRST_IDS).alias("own"))  # one text's k-mers
     own = own.join(bits, F.col("q_node") == F.col("b_node")).drop("b_node")
     heads = heads.join(own, F.col("node") == F.col("q_node")).drop("q_node")
-    spot, others = F.pmod(F.xxhash64("node", "id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = heads.withColumn("i", spot).withColumn("j", others).alias("x")
-    y = heads.withColumn("j", spot).withColumn("i", others).alias("y")
-    meet = (F.col("x.id") == F.col("y.id")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    meet = F.col("x.id") == F.col("y.id")
     meet = meet & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & _similar_size(F.col("x.n"), F.col("y.n"))
     # Folded, not written out as 32 terms: the compiled condition of a join is only fast while it is small.
     apart = F.zip_with("x.bits", "y.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
@@ -405,7 +425,18 @@ def _prefix_pairs(heads: DataFrame, bits: DataFrame, near: int) -> DataFrame:
     # A pair that shares any of the smallest ids of both comes out once, at the smallest it shares.
     first = F.array_min(F.array_intersect("x.own", "y.own"))
     meet = meet & (differ <= BITS - near) & (F.col("x.id") == F.coalesce(first, F.col("x.id")))
-    return x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    # Texts of one block meet those of the same rows, which are shuffled once for both sides.
+    single = heads.where("blocks = 1").drop("blocks")
+    ends = F.col("x.node").alias("a"), F.col("y.node").alias("b")
+    pairs = single.alias("x").join(single.alias("y"), meet).select(*ends)
+    if cut:
+        many = heads.where("blocks > 1")
+        spot, others = F.pmod(F.xxhash64("node", "id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        x = many.withColumn("i", spot).withColumn("j", others).drop("blocks").alias("x")
+        y = many.withColumn("j", spot).withColumn("i", others).drop("blocks").alias("y")
+        met = x.join(y, (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & meet)
+        pairs = pairs.union(met.select(*ends))
+    return pairs
 
 
 def _bits(batches):

@@ -5,7 +5,9 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from helpers import SMALL, assert_same
+from pyspark.sql import functions as F
 
 from featureflow.llm import near_dup, registry
 from featureflow.llm.exact_dedup import build_levels, exact_dedup, slots_of
@@ -299,3 +301,32 @@ def test_hot_prefix_ids_are_cut_into_blocks(make_docs, monkeypatch):
             n += 1
             t = edited(r, t, 1 + k % 3)
     assert got_classes(near_classes(make_docs(rows))) == brute_classes(rows)
+
+
+def test_texts_that_meet_nothing_are_not_shuffled(spark, make_docs):
+    r = random.Random(8)
+    texts = [[f"{r.getrandbits(40):x}" for _ in range(1500)] for _ in range(250)]
+    texts.append(["other", *texts[0][1:]])
+    docs = make_docs([(i, " ".join(words)) for i, words in enumerate(texts)], extra=False).repartition(4)
+    docs.write.parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/apart")
+    docs = spark.read.parquet(path)
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    classes = {n.doc_id: n.class_id for n in near_classes(docs).collect()}
+    assert classes == {i: i % 250 for i in range(251)}
+    assert shuffled() - before < sum(len(" ".join(words)) for words in texts) / 2
+
+
+@pytest.mark.parametrize("slots", [64, 2**12])
+def test_rows_asked_for_are_never_thinned_out(spark, monkeypatch, slots):
+    monkeypatch.setattr(near_dup, "SLOTS", slots)
+    rows = spark.range(4000).select(F.col("id").alias("key"), (F.col("id") % 7).alias("n"))
+    wanted = rows.where("key % 50 = 0")
+    got = {r.key for r in near_dup._thinned(rows, "key", wanted).collect()}
+    assert got >= set(range(0, 4000, 50)) and (slots == 64 or len(got) < 400)
+    kept = near_dup._thinned(rows, "key", wanted.where("key < 0"), unless=F.col("n") == 3)
+    assert kept.columns == ["key", "n"] and {r.key for r in kept.collect()} == set(range(3, 4000, 7))
